@@ -22,12 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, stored, utf8
 
-#: Words (with the space before them) that a worker remembers before it starts anew.
-REMEMBERED = 500_000
-
-# Fixed value: the pattern by which byte-level BPE splits a text before merging; the tokenizer file names it as its own.
-WORD = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
+#: Chunks (words with the space before them) that a worker remembers before it starts anew.
+REMEMBERED = 1_000_000
 
 class _Chunks(dict):
     """Chunk -> number; new chunks are noted."""
@@ -45,60 +41,39 @@ class _Chunks(dict):
 class ByteTokens:
     """Token ids of texts, by the tokenizer library, which sees each distinct word once.
 
-    A byte-level BPE merges inside words only, and a space before a character that isn't white space always begins a word. So a text is split at its spaces, and the ids of a chunk are looked up. Texts in which white space follows a space, or which hold a special token's string, go to the library whole, as does every text if the file isn't such a BPE.
+    A byte-level BPE merges inside words only, and a space before a character that isn't white space always begins a word. So a text is split at its spaces, and the ids of a chunk are looked up. New chunks are encoded in one call, between special tokens, at which the library cuts a text before anything else. Texts in which white space follows a space, or which hold a special token's string, go to the library whole, as does every text if the file isn't such a BPE.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.word = regex.compile(WORD)
+        self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)}
         self.odd = regex.compile(r" (?=\s|$)")
         pre = str(self.tok.pre_tokenizer)
-        self.by_word = self.tok.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre and self.tok.truncation is None and self.tok.padding is None
-        self.break_ids = self.whole("\n") if self.by_word else []
+        self.by_word = bool(self.special) and len(self.special) == len(self.tok.get_added_tokens_decoder()) and self.tok.normalizer is None and pre.startswith("ByteLevel(add_prefix_space=False") and "use_regex=True" in pre and self.tok.truncation is None and self.tok.padding is None
         self.forget()
 
     def forget(self) -> None:
-        self.chunks, self.words = _Chunks(), {}
+        self.chunks = _Chunks()
         self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def whole(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _learn_words(self, words: list[str]) -> None:
-        """Encodes unknown words in one call, a line each: a line feed is a word of its own beside what isn't white space."""
-        alone = [w for w in words if "\n" in w or w.isspace()]
-        lines = [w for w in words if not ("\n" in w or w.isspace())]
-        for w in alone:
-            self.words[w] = self.whole(w)
-        if len(self.break_ids) != 1:
-            for w in lines:
-                self.words[w] = self.whole(w)
-            return
-        for at in range(0, len(lines), 2000):
-            some = lines[at : at + 2000]
-            ids = np.array(self.whole("\n".join(some)), np.uint32)
-            cuts = np.flatnonzero(ids == self.break_ids[0])
-            if len(cuts) != len(some) - 1:
-                for w in some:
-                    self.words[w] = self.whole(w)
-                continue
-            for w, part in zip(some, np.split(ids, cuts)):
-                self.words[w] = part[1:].tolist() if len(part) and part[0] == self.break_ids[0] else part.tolist()
-
     def _learn(self) -> None:
         new, self.chunks.new = self.chunks.new, []
         if not new:
             return
-        split = [self.word.findall(c) for c in new]
-        self._learn_words(list({w for ws in split for w in ws} - self.words.keys()))
-        ids = [[i for w in ws for i in self.words[w]] for ws in split]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        mark, mark_id = next(iter(self.special.items()))
+        ids = np.array(self.tok.encode_batch_fast([mark.join(new)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.concatenate([[-1], np.flatnonzero(ids == mark_id), [len(ids)]])
+        lengths = np.diff(cuts) - 1
+        if len(lengths) != len(new):
+            raise ValueError(f"{len(new)} chunks gave {len(lengths)} encodings")
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))])
+        self.flat = np.concatenate([self.flat, ids[ids != mark_id]])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list = []
@@ -118,7 +93,7 @@ class ByteTokens:
                 continue
             n = self.lengths[ix]
             out[k] = self.flat[np.repeat(self.starts[ix] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        if len(self.chunks) > REMEMBERED or len(self.words) > REMEMBERED:
+        if len(self.chunks) > REMEMBERED:
             self.forget()
         return out
 

@@ -6,17 +6,36 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media
+from . import media, packing, tokencount
 from .common import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine and on the executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return tokencount.token_counts(docs, tokenizer_path("piece_bpe_32k.model"), limit=4096)
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return media.media_digest(media.to_media(docs, "doc_id", "text"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), max_len=1024, end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_token_counts": op5_token_counts,
     "op8_media_columns": op8_media_columns,
+    "op9_packing": op9_packing,
 }
 
 #: Where SQL can express a query.
