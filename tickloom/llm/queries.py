@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, tokencount
+from . import chat, media, packing, tokencount, toxicity
 from .common import table
 
 
@@ -17,11 +17,27 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, threshold=0.3)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return tokencount.token_counts(docs, tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+#: A conversation whose texts hold the template's own marks.
+PLANTED = "\\### Assistant: </turn> ok"
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planted = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)], "conv_id long, turn long, role string, text string")
+    return chat.conversation_digest(chat.format_turns(rows.unionByName(planted)))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return media.media_digest(media.to_media(docs, "doc_id", "text"))
@@ -33,7 +49,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
+    "op7_chat_formatting": op7_chat_formatting,
     "op8_media_columns": op8_media_columns,
     "op9_packing": op9_packing,
 }
