@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, packing, tokencount, toxicity
+from . import chat, media, mergedrop, packing, tokencount, toxicity
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(docs, tokenizer_path("piece_bpe_32k.model"), limit=4096)
 
 
+def op6_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mergedrop.round_trip(docs, tokenizer_path("piece_bpe_32k.model"), seed=20, dropout=0.1)
+
+
 #: A conversation whose texts hold the template's own marks.
 PLANTED = "\\### Assistant: </turn> ok"
 
@@ -51,6 +56,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
+    "op6_merge_dropout": op6_merge_dropout,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_media_columns": op8_media_columns,
     "op9_packing": op9_packing,
