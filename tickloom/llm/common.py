@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +67,36 @@ def release_shuffles(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def dealt(rows: DataFrame, key: str, mix: str, block: int) -> DataFrame:
+    """Rows of keys that have two or more, with the pair of blocks (i, j) in which a task compares them.
+
+    A key's rows lie in blocks of about ``block`` by ``mix``; each row goes to a task for every block of its key. ``side``: 0 for block i, 1 for block j. Keys of one block have the task (0, 0) alone.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
+    placed = rows.join(sizes.drop("_n"), key).withColumn("_own", F.pmod(F.xxhash64(F.lit(5), mix), F.col("_blocks")).cast("int"))
+    each = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return each.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).withColumn("side", (F.col("_own") > F.col("_other")).cast("int")).drop("_blocks", "_own", "_other")
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple[int, ...], pa.Table]]:
+    """Runs of rows with equal numbers in the first ``keys`` columns, as tables."""
+    current, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at = [b.column(c).to_numpy(zero_copy_only=False) for c in range(keys)]
+        new = np.zeros(b.num_rows - 1, bool)
+        for a in at:
+            new |= a[1:] != a[:-1]
+        cuts = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            key = tuple(int(a[start]) for a in at)
+            if key != current and held:
+                yield current, pa.Table.from_batches(held)
+                held = []
+            current = key
+            held.append(b.slice(start, end - start))
+    if held:
+        yield current, pa.Table.from_batches(held)

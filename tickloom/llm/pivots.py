@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, release_shuffles, stored
+from .common import bounded_batches, dealt, groups, release_shuffles, stored
 from .graph import components
 
 #: Pivots: a number that doesn't depend on the data.
@@ -123,47 +123,27 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
     else:
         keys = F.array(F.lit(0).cast("long"))
     listed = described.withColumn("l", low).select("h1", "h2", F.explode(keys).alias("key"))
-    sizes = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    placed = listed.join(sizes, "key").withColumn("own", F.pmod("h1", F.col("blocks")).cast("int"))
-    dealt = placed.select("h1", "h2", "key", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("h1", "h2", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    full = dealt.join(classes.join(described, ["h1", "h2"]), ["h1", "h2"]).select("key", "i", "j", "side", "h1", "h2", "mult", "near", "v").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h1", "h2")
+    tasks = dealt(listed, "key", "h1", block)
+    full = tasks.join(classes.join(described, ["h1", "h2"]), ["h1", "h2"]).select("key", "i", "j", "side", "h1", "h2", "mult", "near", "v").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h1", "h2")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, held = None, []
-
-        def solve() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            h1, h2, mult = (t.column(c).to_numpy() for c in ("h1", "h2", "mult"))
+        for (key, i, j), t in groups(batches, 3):
+            h1, h2, mult, side = (t.column(c).to_numpy() for c in ("h1", "h2", "mult", "side"))
             vectors = t.column("v").to_pylist()
             widths = np.array([len(v) for v in vectors])
             near = np.array(t.column("near").to_pylist())
-            side = t.column("side").to_numpy()
-            key, i, j = current
-            out = []
+            if count < 2:  # all in one list
+                near, pair = np.repeat([[0, 1]], len(near), axis=0), (0, 1)
+            else:
+                pair = (key // count, key % count)
             for w in np.unique(widths).tolist():
                 k = np.flatnonzero(widths == w)
-                x = unit([vectors[q] for q in k], w)
-                links, root = verified(np.lexsort((h2[k], h1[k])).argsort(), mult[k], near[k], x, side[k], i == j, (key // count, key % count), least) if count > 1 else verified(np.arange(len(k)), mult[k], np.zeros((len(k), 2), int), x, side[k], i == j, (0, 0), least)
+                rank = np.lexsort((h2[k], h1[k])).argsort()
+                links, root = verified(rank, mult[k], near[k], unit([vectors[q] for q in k], w), side[k], i == j, pair, least)
                 some = np.flatnonzero(links > 0)
-                out.append((h1[k][some], h2[k][some], links[some], h1[k][root[some]], h2[k][root[some]]))
-            cols = [np.concatenate(c) for c in zip(*out)]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h1", "h2", "links", "r1", "r2"])
-
-        for b in batches:
-            at = [np.asarray(b.column(c)) for c in range(3)]
-            cuts = np.flatnonzero((at[0][1:] != at[0][:-1]) | (at[1][1:] != at[1][:-1]) | (at[2][1:] != at[2][:-1])) + 1 if b.num_rows else []
-            for a, e in zip([0, *cuts], [*cuts, b.num_rows]):
-                if a == e:
-                    continue
-                k = (int(at[0][a]), int(at[1][a]), int(at[2][a]))
-                if k != current and held:
-                    yield solve()
-                    held = []
-                current = k
-                held.append(b.slice(a, e - a))
-        if held:
-            yield solve()
+                if len(some):
+                    cols = (h1[k][some], h2[k][some], links[some], h1[k][root[some]], h2[k][root[some]])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h1", "h2", "links", "r1", "r2"])
 
     found = stored(full.mapInArrow(verify, "h1 long, h2 long, links long, r1 long, r2 long"), "found")
     release_shuffles(spark)
