@@ -25,7 +25,7 @@ from .common import bounded_batches, utf8
 
 VARIANTS = 4
 #: Words, and segmentations, that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 700_000
 MASK = (1 << 64) - 1
 LETTERS = re.compile(r" *[^\W\d_]+")
 SPACES = re.compile(r" *[^ ]+| +$")
@@ -36,7 +36,6 @@ class MergeCoder:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.rank: dict[str, int] = {}
         self.ids: dict[str, int] = {}
         self.byte_ids, self.raw = [0] * 256, [b""] * sp.get_piece_size()
         scores = {}
@@ -52,45 +51,48 @@ class MergeCoder:
                 self.ids[text], self.raw[i] = i, text.encode()
                 scores[text] = sp.get_score(i)
         self.pairs = {a + b for t in self.ids for a, b in zip(t, t[1:])}
-        # Best score first; pieces of one character are there from the start.
-        for k, text in enumerate(sorted((t for t in scores if len(t) > 1), key=lambda t: (-scores[t], self.ids[t]))):
-            self.rank[text] = k
-        self.memories: dict[tuple[int, int], Memory] = {}
+        # Best score first. A merge is known by the two pieces' numbers; its value is the rank of the piece that it gives.
+        order = sorted((t for t in scores if len(t) > 1), key=lambda t: (-scores[t], self.ids[t]))
+        self.given = [self.ids[t] for t in order]
+        self.merges = {self.ids[t[:k]] << 16 | self.ids[t[k:]]: r for r, t in enumerate(order) for k in range(1, len(t)) if t[:k] in self.ids and t[k:] in self.ids}
+        self.chars = {t: i for t, i in self.ids.items() if len(t) == 1 and t != "▁"}
+        self.memories: dict[tuple[int, float, int], Memory] = {}
 
     def segment(self, word: str, key: int = 0, skip: int = 0) -> list[int]:
-        """Ids of one word. ``skip``: candidates whose 64 bits are below it are passed over."""
-        n, rank = len(word), self.rank
-        if n > 1:
-            end, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-            if "▁" in word:  # a literal marker never merges
-                return [x for part in re.split("(▁)", word) if part for x in (self.segment(part, key, skip) if part != "▁" else [self.byte_ids[b] for b in part.encode()])]
-            agenda = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank.get(word[i : i + 2])) is not None]
+        """Ids of one word. ``skip``: candidates whose 32 bits are below it are passed over."""
+        n, merges, given = len(word), self.merges, self.given
+        symbols = [self.chars.get(c, -1) for c in word]
+        end = list(range(1, n + 1))
+        bits = max(8, (n + 1).bit_length())
+        mask = (1 << bits) - 1
+        agenda = [((r << bits | i) << bits | i + 1) << bits | i + 2 for i in range(n - 1) if (r := merges.get(symbols[i] << 16 | symbols[i + 1])) is not None]
+        if agenda:
+            prev = list(range(-1, n - 1))
             heapq.heapify(agenda)
+            pop, push = heapq.heappop, heapq.heappush
             while agenda:
-                _, i, j, stop = heapq.heappop(agenda)
-                if end[i] != j or j >= n or end[j] != stop:
+                top = pop(agenda)
+                stop, j, i = top & mask, top >> bits & mask, top >> 2 * bits & mask
+                if end[i] != j or end[j] != stop:
                     continue  # one of the two has been merged meanwhile
-                if skip:  # 64 pseudo-random bits of the candidate's place under the key
-                    x = (key ^ (i * 0x9E3779B97F4A7C15 + j * 0xC2B2AE3D27D4EB4F + stop * 0x165667B19E3779F9)) * 0xD6E8FEB86659FD93 & MASK
-                    if (x ^ x >> 29) * 0xA0761D6478BD642F & MASK < skip:
+                if skip:  # 32 pseudo-random bits of the candidate's place under the key
+                    x = (key ^ i * 0x9E3779B1 ^ j * 0x85EBCA6B ^ stop * 0xC2B2AE35) * 0x27D4EB2F & 0xFFFFFFFF
+                    if (x ^ x >> 15) * 0x165667B1 & 0xFFFFFFFF < skip:
                         continue
                 end[i], end[j] = stop, -1
+                symbols[i] = made = given[top >> 3 * bits]
                 if stop < n:
                     prev[stop] = i
-                    if (r := rank.get(word[i : end[stop]])) is not None:
-                        heapq.heappush(agenda, (r, i, stop, end[stop]))
-                if (p := prev[i]) >= 0 and (r := rank.get(word[p:stop])) is not None:
-                    heapq.heappush(agenda, (r, p, i, stop))
-        else:
-            end = [n] * n
+                    if (r := merges.get(made << 16 | symbols[stop])) is not None:
+                        push(agenda, ((r << bits | i) << bits | stop) << bits | end[stop])
+                if (p := prev[i]) >= 0 and (r := merges.get(symbols[p] << 16 | made)) is not None:
+                    push(agenda, ((r << bits | p) << bits | i) << bits | stop)
         out, at = [], 0
         while at < n:
-            piece = word[at : end[at]]
-            i = self.ids.get(piece)
-            if i is None or piece == "▁":
-                out += [self.byte_ids[b] for b in piece.encode("utf-8", "replace")]
+            if (s := symbols[at]) >= 0:
+                out.append(s)
             else:
-                out.append(i)
+                out += [self.byte_ids[b] for b in word[at].encode("utf-8", "replace")]
             at = end[at]
         return out
 
@@ -115,7 +117,7 @@ class Memory:
 
     def __init__(self, coder: MergeCoder, seed: int, dropout: float, variants: int):
         self.coder, self.seed, self.variants = coder, seed, variants
-        self.skip = min(int(dropout * (1 << 64)), MASK)
+        self.skip = min(int(dropout * (1 << 32)), (1 << 32) - 1)
         self.forget()
 
     def forget(self) -> None:
@@ -145,14 +147,16 @@ class Memory:
             ix = self.table[c]
             n = self.lengths[ix]
             out.append(self.flat[np.repeat(self.starts[ix] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])
-        if len(self.words) > REMEMBERED or len(self.starts) > 4 * REMEMBERED:
+        if len(self.words) > REMEMBERED or len(self.starts) > 2 * REMEMBERED:
             self.forget()
+        elif len(self.parts) > REMEMBERED // 2:
+            self.parts.clear()
         return out
 
     def part(self, part: str, variant: int) -> list[int]:
         found = self.parts.get((part, variant))
         if found is None:
-            key = (zlib.crc32(part.encode("utf-8", "replace")) << 32 | zlib.crc32(variant.to_bytes(4, "little"), self.seed & 0xFFFFFFFF)) * 0x9E3779B97F4A7C15 & MASK
+            key = zlib.crc32(part.encode("utf-8", "replace"), zlib.crc32(variant.to_bytes(4, "little"), self.seed & 0xFFFFFFFF))
             found = self.parts[part, variant] = self.coder.segment(part, key, self.skip)
         return found
 
