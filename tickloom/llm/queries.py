@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, media, mergedrop, packing, passages, pivots, shingles, tokencount, toxicity
+from . import chat, licenses, media, mergedrop, packing, passages, pivots, shingles, tokencount, toxicity
 from .common import table
 
 
@@ -25,6 +25,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingles.join(table(spark, sf_dir, "documents"), least=0.8)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select("doc_id", licenses.document_path().alias("path"), "text")
+    return licenses.scan(files, keep=("doc_id",))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -68,6 +74,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_ngram_join": op2_ngram_join,
+    "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op6_merge_dropout": op6_merge_dropout,
@@ -78,4 +85,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Where SQL can express a query.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": licenses.oracle(),
+}
