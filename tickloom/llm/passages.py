@@ -406,3 +406,45 @@ def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     s = repeated_spans(df, id_col, text_col, texts=False)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     return s.select(id_col, "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans shrunk to the characters of UTF-8 that lie in them wholly."""
+    out = []
+    for a, b in spans:
+        while a < b and text[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(text) and text[b] & 0xC0 == 0x80:
+            b -= 1
+        if a < b:
+            out.append((a, b))
+    return out
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of ``df`` (columns ``keep``) with their repeated passages taken out of the text, by whole characters, and the count of characters set anew. Rows of which nothing is left are dropped; rows that were empty or null stay."""
+    own_names = [f"c_{i}" for i in range(len(keep))]
+    renamed = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), *(F.col(c).alias(n) for c, n in zip(keep, own_names)))
+    own = repeated_spans(renamed, "i", "t", keep=tuple(own_names), texts=False).select("spans", *own_names)
+    at, kinds = keep.index(text_col), [df.schema[c].dataType for c in keep]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, stays = [], []
+            for text, spans in zip(b.column(1 + at).to_pylist(), b.column(0).to_pylist()):
+                if not text or not spans:
+                    texts.append(text)
+                    stays.append(True)
+                    continue
+                raw = text.encode("utf-8", "replace")
+                s = whole_characters(raw, [(x["start"], x["end"]) for x in spans])
+                rest = b"".join(raw[x:y] for x, y in zip([0, *(e for _, e in s)], [*(a for a, _ in s), len(raw)]))
+                texts.append(rest.decode("utf-8", "replace"))
+                stays.append(bool(rest))
+            cols = b.columns[1:]
+            cols[at] = pa.array(texts, cols[at].type)
+            yield pa.RecordBatch.from_arrays(cols, names=list(keep)).filter(pa.array(stays, pa.bool_()))
+
+    schema = ", ".join(f"`{c}` {k.simpleString()}" for c, k in zip(keep, kinds))
+    out = own.mapInArrow(cut, schema)
+    return out.withColumn(count_col, F.length(text_col).cast(df.schema[count_col].dataType)) if count_col in keep else out
