@@ -2,5 +2,146 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.indicators import crossover, indicator, pivotpoint, resume, sweep
+from ..operators.registry import INFO
+from ..sources import bars
+from . import oracles
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.daily(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.hourly(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.weekly(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+def shown(df: DataFrame, outputs: list[str], extra: list[str] | None = None) -> DataFrame:
+    """Symbol, time as text, and outputs rounded as the SQL twins round them."""
+
+    def scaled(k: str) -> F.Column:
+        return F.log(F.col(k)) if k in oracles.LOGGED else F.col(k) * oracles.SCALED.get(k, 1.0)
+
+    return df.select("symbol", F.col("ts").cast("string").alias("ts"), *(extra or []), *(F.round(scaled(k) + oracles.SHIFT, oracles.DIGITS).alias("ln_" * (k in oracles.LOGGED) + k) for k in outputs))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = daily(spark, sf_dir)
+    both = indicator(indicator(d, "sma", 14), "ema", 14)
+    return shown(both, ["close", "sma", "ema"])
+
+
+def of_indicator(name: str) -> Query:
+    info = INFO[name]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        own = daily(spark, sf_dir)
+        named = {k: f"_{k}" for k in info.outputs if k in own.columns}
+        out = indicator(own, name, names=named)
+        return shown(out.select("symbol", "ts", *(F.col(named.get(k, k)).alias(k) for k in info.outputs)), list(info.outputs))
+
+    return query
+
+
+def of_bars(make: Query) -> Query:
+    return lambda spark, sf_dir: shown(make(spark, sf_dir), ["open", "high", "low", "close", "volume"])
+
+
+def bars_sql(sql: str) -> str:
+    return f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, " + ", ".join(f"round({c} + {oracles.SHIFT}, {oracles.DIGITS}) AS {c}" for c in ("open", "high", "low", "close", "volume")) + f" FROM ({sql}) AS b"
+
+
+def crosses(either: bool) -> Query:
+    return lambda spark, sf_dir: shown(crossover(daily(spark, sf_dir), "close", "open", either=either, name="crossed"), ["crossed"])
+
+
+def crosses_sql(either: bool) -> str:
+    back = " OR (pc > po AND close < open)" if either else ""
+    return f"WITH b AS ({oracles.DAILY}), t AS (SELECT *, lag(close) {oracles.S} AS pc, lag(open) {oracles.S} AS po FROM b) SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(CASE WHEN pc IS NOT NULL THEN CAST((pc < po AND close > open){back} AS DOUBLE) END + {oracles.SHIFT}, {oracles.DIGITS}) AS crossed FROM t"
+
+
+PIVOTS = ["s3", "s2", "s1", "pp", "r1", "r2", "r3"]
+
+
+def pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = pivotpoint(daily(spark, sf_dir), 20)
+    return p.select("symbol", *(F.round(F.col(k) + oracles.SHIFT, oracles.DIGITS).alias(k) for k in PIVOTS))
+
+
+PIVOTS_SQL = f"""WITH b AS ({oracles.DAILY}), l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS n FROM b),
+g AS (SELECT symbol, max(high) AS h, min(low) AS l, arg_min(close, n) AS c FROM l WHERE n <= 20 GROUP BY symbol HAVING count(*) = 20),
+p AS (SELECT symbol, h, l, (h + l + c) / 3 AS pp, h - l AS r FROM g),
+q AS (SELECT symbol, 2 * pp - h - r AS s3, pp - r AS s2, 2 * pp - h AS s1, pp, 2 * pp - l AS r1, pp + r AS r2, 2 * pp - l + r AS r3 FROM p)
+SELECT symbol, {", ".join(f"round({k} + {oracles.SHIFT}, {oracles.DIGITS}) AS {k}" for k in PIVOTS)} FROM q"""
+
+SWEEP = {"sma": [(5,), (20,), (50,)], "ema": [(5,), (20,), (50,)], "rsi": [(7,), (14,), (21,)], "bbands": [(10, 1.5), (20, 2)]}
+
+
+def of_sweep(name: str) -> Query:
+    return lambda spark, sf_dir: shown(sweep(daily(spark, sf_dir), name, SWEEP[name]), list(INFO[name].outputs), ["param_id"])
+
+
+def sweep_sql(name: str) -> str:
+    return " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS param_id, * FROM ({oracles.build(name, INFO[name].check(o))}) AS q{k}" for k, o in enumerate(SWEEP[name]))
+
+
+def of_chunks(name: str) -> Query:
+    """The series in two chunks, the second from the first one's states."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = daily(spark, sf_dir)
+        early = F.col("ts") < F.lit("1995-01-01").cast("timestamp")
+        one = resume(d.where(early), name)
+        states = one.where("state is not null").select("symbol", "state")
+        two = resume(d.where(~early), name, states=states)
+        return shown(one.unionByName(two), list(INFO[name].outputs))
+
+    return query
+
+
+def hourly_macd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(indicator(hourly(spark, sf_dir), "macd"), list(INFO["macd"].outputs))
+
+
+def weekly_bbands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(indicator(weekly(spark, sf_dir), "bbands"), list(INFO["bbands"].outputs))
+
+
+QUERIES: dict[str, Query] = {
+    "bars_daily": of_bars(daily),
+    "bars_hourly": of_bars(hourly),
+    "bars_weekly": of_bars(weekly),
+    "crossover": crosses(False),
+    "crossany": crosses(True),
+    "pivotpoint": pivots,
+    **{f"ind_{k}": of_indicator(k) for k in INFO},
+    **{f"sweep_{k}": of_sweep(k) for k in SWEEP},
+    **{f"chunks_{k}": of_chunks(k) for k in ("ema", "rsi", "macd", "stoch", "psar")},
+    "hourly_macd": hourly_macd,
+    "weekly_bbands": weekly_bbands,
+}
+
+ORACLE_SQL: dict[str, str] = {
+    "bars_daily": bars_sql(oracles.DAILY),
+    "bars_hourly": bars_sql(oracles.HOURLY),
+    "bars_weekly": bars_sql(oracles.WEEKLY),
+    "crossover": crosses_sql(False),
+    "crossany": crosses_sql(True),
+    "pivotpoint": PIVOTS_SQL,
+    **{f"ind_{k}": oracles.build(k, i.defaults) for k, i in INFO.items()},
+    **{f"sweep_{k}": sweep_sql(k) for k in SWEEP},
+    **{f"chunks_{k}": oracles.build(k, INFO[k].defaults) for k in ("ema", "rsi", "macd", "stoch", "psar")},
+    "hourly_macd": oracles.build("macd", INFO["macd"].defaults, oracles.HOURLY),
+    "weekly_bbands": oracles.build("bbands", INFO["bbands"].defaults, oracles.WEEKLY),
+}
