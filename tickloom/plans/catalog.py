@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import candlesticks
 from ..operators.indicators import crossover, indicator, pivotpoint, resume, sweep
 from ..operators.registry import INFO
 from ..sources import bars
@@ -118,7 +119,17 @@ def weekly_bbands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(indicator(weekly(spark, sf_dir), "bbands"), list(INFO["bbands"].outputs))
 
 
+def candles(forecast: str | None = None, periods: tuple[int, int, int] = (5, 3, 3)) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = candlesticks.scan(daily(spark, sf_dir), *periods, forecast=forecast)
+        return candlesticks.exploded(found).withColumn("ts", F.col("ts").cast("string"))
+
+    return query
+
+
 QUERIES: dict[str, Query] = {
+    "candlestick": candles(),
+    **{f"candlestick_{f.lower()}": candles(f) for f in candlesticks.FORECASTS},
     "bars_daily": of_bars(daily),
     "bars_hourly": of_bars(hourly),
     "bars_weekly": of_bars(weekly),
@@ -133,6 +144,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "candlestick": oracles.candles((5, 3, 3)),
+    **{f"candlestick_{f.lower()}": oracles.candles((5, 3, 3), f) for f in candlesticks.FORECASTS},
     "bars_daily": bars_sql(oracles.DAILY),
     "bars_hourly": bars_sql(oracles.HOURLY),
     "bars_weekly": bars_sql(oracles.WEEKLY),

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 
+from ..operators.patterns import PATTERNS
 from ..operators.registry import INFO
 
 #: Shown values are rounded after a small shift, so that values whose last digit is 5 don't fall on either side of a tie.
@@ -296,3 +298,82 @@ def build(name: str, o: tuple[float, ...], bars: str = DAILY) -> str:
     else:
         raise KeyError(name)
     return t.sql({k: f"CASE WHEN i >= {first} THEN {v} END" for k, v in zip(info.outputs, out)})
+
+
+_TYPES = {
+    "W2+": "type IN ('WhiteCandle', 'LongWhiteCandle', 'WhiteMarubozu', 'ClosingWhiteMarubozu', 'OpeningWhiteMarubozu')",
+    "W3+": "type IN ('ShortWhiteCandle', 'WhiteCandle', 'LongWhiteCandle', 'WhiteMarubozu', 'ClosingWhiteMarubozu', 'OpeningWhiteMarubozu')",
+    "B2+": "type IN ('BlackCandle', 'LongBlackCandle', 'BlackMarubozu', 'ClosingBlackMarubozu', 'OpeningBlackMarubozu')",
+    "B3+": "type IN ('ShortBlackCandle', 'BlackCandle', 'LongBlackCandle', 'BlackMarubozu', 'ClosingBlackMarubozu', 'OpeningBlackMarubozu')",
+    "Doji4": "type IN ('Doji', 'LongLeggedDoji', 'DragonflyDoji', 'GravestoneDoji')",
+    "!Doji": "type NOT IN ('Doji', 'LongLeggedDoji', 'DragonflyDoji', 'GravestoneDoji', 'FourPriceDoji')",
+}
+_WORDS = {
+    "G": "green", "R": "NOT green", "hollow": "open < close", "filled": "open >= close", "line=LONG": "long_line", "line=SHORT": "NOT long_line", "body=LONG": "long_body", "body=SHORT": "NOT long_body",
+    "lower_wick_lt_body": "NOT (lower > 0 AND lower >= body)", "upper_wick_lt_body": "NOT (upper > 0 AND upper >= body)", "lower_wick_2x": "lower >= 2 * body", "upper_wick_2x": "upper >= 2 * body",
+    "body_gap=UP": "bot > ptop", "body_gap=DOWN": "top < pbot", "wick_gap=UP": "low > ph", "wick_gap=DOWN": "high < pl",
+    "open_above_prev_mid": "open > (ptop + pbot) / 2", "close_above_prev_mid": "close > (ptop + pbot) / 2", "open_in_prev_body": "open BETWEEN pbot AND ptop", "close_in_prev_body": "close BETWEEN pbot AND ptop",
+    "high_in_prev_body": "high BETWEEN pbot AND ptop", "high_in_prev_line": "high BETWEEN pl AND ph", "low_in_prev_line": "low BETWEEN pl AND ph", "body_gt_prev_body": "body > ptop - pbot",
+    "engulf_prev=BODY": "top >= ptop AND bot <= pbot AND (top > ptop OR bot < pbot)", "engulf_prev=LINE": "top >= ph AND bot <= pl",
+    "inside_prev=BODY": "top <= ptop AND bot >= pbot AND (top < ptop OR bot > pbot)", "inside_prev=LINE": "high <= ph AND low >= pl AND (high < ph OR low > pl)",
+}
+
+
+def _template(words: str) -> str:
+    parts = ["type <> 'Other'"]
+    for w in words.split():
+        if w in _TYPES:
+            parts.append(_TYPES[w])
+        elif w.startswith("NOT_"):
+            parts.append(f"NOT ({_WORDS[w[4:]]})")
+        elif w in _WORDS:
+            parts.append(f"({_WORDS[w]})")
+        else:
+            names = ", ".join(f"'{x}'" for x in w.lstrip("!").split("|"))
+            parts.append(f"type {'NOT ' * w.startswith('!')}IN ({names})")
+    return " AND ".join(parts)
+
+
+def candles(periods: tuple[int, int, int], forecast: str | None = None, bars: str = DAILY) -> str:
+    """The candlestick scan: averages by recursion, types by CASE, patterns as a union over the bars before."""
+    c, t, g = periods
+    slow = t + g
+    first = c + 4 if c > slow else slow + 5
+    p = Plan(bars)
+    p.add(span="high - low", body="abs(open - close)", pc=lag("close"), po=lag("open"), ph=lag("high"), pl=lag("low"))
+    p.recurse(**ema("b.span", c, "el"), **ema("b.body", c, "eb"), **ema("b.close", t, "ef"), **ema("b.close", slow, "es"))
+    p.add(ema_line=f"coalesce({lag('el')}, el)", ema_body=f"coalesce({lag('eb')}, eb)", ema="ef", way="CASE WHEN i = 0 THEN NULL WHEN ef > es THEN 1 WHEN ef < es THEN -1 END")
+    p.add(trend="coalesce(last_value(way IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), 0)", top="greatest(open, close)", bot="least(open, close)", ptop="greatest(po, pc)", pbot="least(po, pc)", green="coalesce(close >= pc, true)", long_line="span >= (0.7::DOUBLE - 0.005::DOUBLE) * ema_line", long_body="body >= (0.7::DOUBLE - 0.005::DOUBLE) * ema_body")
+    p.add(upper="high - top", lower="bot - low")
+    p.add(up_long="upper > 0 AND upper >= body", down_long="lower > 0 AND lower >= body", stretched="long_line AND ((upper > 0 AND upper >= body * 3) OR (lower > 0 AND lower >= body * 3))", place="CASE WHEN span = 0 THEN NULL WHEN top = high THEN 100 WHEN bot = low THEN 0 ELSE ((top + bot) / 2 - low) / span * 100 END")
+    p.add(type="""CASE WHEN body <= 0.03::DOUBLE * ema_body THEN CASE WHEN long_line THEN CASE WHEN place > 45 AND place < 55 THEN 'LongLeggedDoji' WHEN place = 100 THEN 'DragonflyDoji' WHEN place = 0 THEN 'GravestoneDoji' ELSE 'Doji' END WHEN upper = 0 AND lower = 0 THEN 'FourPriceDoji' ELSE 'Doji' END
+ WHEN upper > 0 AND lower > 0 AND NOT up_long AND NOT down_long THEN CASE WHEN long_line AND body > 3 * ema_body THEN 'Long' WHEN long_line THEN '' ELSE 'Short' END || CASE WHEN open < close THEN 'WhiteCandle' ELSE 'BlackCandle' END
+ WHEN upper = 0 AND lower = 0 THEN CASE WHEN open < close THEN 'WhiteMarubozu' ELSE 'BlackMarubozu' END
+ WHEN upper = 0 AND NOT down_long THEN CASE WHEN open < close THEN 'ClosingWhiteMarubozu' ELSE 'OpeningBlackMarubozu' END
+ WHEN lower = 0 AND NOT up_long THEN CASE WHEN open < close THEN 'OpeningWhiteMarubozu' ELSE 'ClosingBlackMarubozu' END
+ WHEN (up_long OR down_long) AND NOT stretched THEN CASE WHEN open < close THEN 'WhiteSpinningTop' ELSE 'BlackSpinningTop' END
+ WHEN (up_long OR down_long) AND NOT long_body THEN 'HighWave' ELSE 'Other' END""")
+    templates: dict[str, str] = {}
+    for name, kind, before, parts, extra in PATTERNS:
+        for w in [*parts.split("; "), *([before] if before else [])]:
+            templates.setdefault(w, f"f{len(templates)}")
+    p.add(**{k: _template(w) for w, k in templates.items()})
+    rows = []
+    wanted_trend = {"BearishReversal": 1, "BullishContinuation": 1, "BullishReversal": -1, "BearishContinuation": -1}
+    for name, kind, before, parts, extra in PATTERNS:
+        if forecast and kind != forecast:
+            continue
+        bars_of = parts.split("; ")
+        n = len(bars_of)
+        conditions = [f"b{n - 1 - k}.{templates[w]}" for k, w in enumerate(bars_of)]
+        if kind in wanted_trend:
+            conditions.append(f"b{n}.trend = {wanted_trend[kind]}")
+        if before:
+            conditions.append(f"b{n}.{templates[before]}")
+        if extra:
+            text = re.sub(r"\b([ohlc])([1-4])\b", lambda m: f"b{n - int(m[2])}.{ {'o': 'open', 'h': 'high', 'l': 'low', 'c': 'close'}[m[1]] }", extra)
+            text = re.sub(r"\b(ema_line|ema_body|ema)\b", r"b0.\1", text).replace("_type", "b0.type")
+            conditions.append(f"({text})")
+        joins = " ".join(f"JOIN x AS b{k} ON b{k}.symbol = b0.symbol AND b{k}.i = b0.i - {k}" for k in range(1, n + 1))
+        rows.append(f"SELECT b0.symbol, CAST(b0.ts AS VARCHAR) AS ts, '{name}' AS pattern, '{kind}' AS forecast, CAST({n} AS INT) AS bars FROM x AS b0 {joins} WHERE b0.i >= {first} AND {' AND '.join(conditions)}")
+    return f"WITH RECURSIVE {', '.join(p.steps)}, x AS MATERIALIZED (SELECT * FROM {p.last}) " + " UNION ALL ".join(rows)
