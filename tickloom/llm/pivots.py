@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, dealt, groups, release_shuffles, stored
 from .graph import components
 
-#: Pivots: a number that doesn't depend on the data.
-PIVOTS = 512
+#: Pivots, and the vectors they are chosen from: numbers that don't depend on the data. No two pivots have a cosine of APART or more.
+PIVOTS, SAMPLE, APART = 512, 4096, 0.5
 NEAREST = 6
 BLOCK = 2000
 
@@ -43,10 +43,19 @@ def nearest(x: np.ndarray, pivots: np.ndarray, count: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
 
 
-def fit(classes: DataFrame, count: int = PIVOTS) -> np.ndarray:
-    """At most ``count`` pivots: the first vectors by a hash of their class."""
-    rows = classes.select("h1", "v").orderBy(F.xxhash64("h1"), "h1").limit(count).select("v").collect()
-    return unit([r["v"] for r in rows]) if rows else np.zeros((0, 1))
+def fit(classes: DataFrame, count: int = PIVOTS, sample: int = SAMPLE, apart: float = APART) -> np.ndarray:
+    """At most ``count`` pivots out of the first ``sample`` classes by a hash: one after the other, if its cosine to those before is below ``apart``. So a large group of near copies doesn't bring many pivots that its members would have to choose among."""
+    rows = classes.select("h1", "v").orderBy(F.xxhash64("h1"), "h1").limit(sample).select("v").collect()
+    if not rows:
+        return np.zeros((0, 1))
+    x = unit([r["v"] for r in rows])
+    chosen = np.zeros((count, x.shape[1]))
+    n = 0
+    for v in x:
+        if n < count and (not n or (chosen[:n] @ v).max() < apart):
+            chosen[n] = v
+            n += 1
+    return chosen[:n]
 
 
 def local_forest(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
