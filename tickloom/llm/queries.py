@@ -86,5 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Where SQL can express a query.
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_join": shingles.ORACLE,
     "op3_license_scan": licenses.oracle(),
+    "op10_embedding_dedup": pivots.ORACLE,
 }

@@ -320,3 +320,17 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
     number = F.coalesce("id", F.lit(NO_ID))
     real = lambda c: F.when(c != NO_ID, c)
     return out.select(F.col("id").alias(id_col), real(F.coalesce("component", number)).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), real(F.coalesce("rep", number)).alias("copy_of"), (F.coalesce("component", number) == number).alias("kept"))
+
+
+#: The join over ``documents`` as SQL, for ids that are there and unique.
+ORACLE = """
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 5 THEN [array_to_string(l, ' ')] ELSE list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')) END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+m AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+p AS (SELECT a, b, m = x.n AND m = y.n AS equal FROM m JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE m * 10 >= 8 * (x.n + y.n - m)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+c AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n_links, min(b) FILTER (WHERE equal) AS twin FROM p GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, least(doc_id, coalesce(twin, doc_id)) AS copy_of, doc_id = class_id AS kept
+FROM documents JOIN c ON c.a = doc_id LEFT JOIN k ON k.a = doc_id"""
