@@ -1,8 +1,8 @@
 """License scans, with DataFrame functions alone.
 
-Each line of a file, and the file as a whole, is a sparse TF-IDF vector over lower-case words (runs of a-z and 0-9); so is each template notice. Inverse document frequencies come from the templates; a word of no template weighs as one in none. A line whose cosine to a template reaches ``least`` is a license header. A file is a licence file for its directory if its name says so (LICENSE, LICENCE, COPYING, NOTICE, with any ending) and it has a header, or if the text as a whole reaches ``least``. Files without a header take the licence of the nearest directory above them that has a licence file: distinct directories are joined with their ancestors, the deepest match counts, and files join their own directory.
+Each line of a file, and the file as a whole, is a sparse TF-IDF vector over lower-case words (runs of a-z and 0-9, but for a few that say little); so is each template notice. Inverse document frequencies come from the templates; a word of no template weighs as one in none. A line whose cosine to a template reaches ``least`` is a license header. A file is a licence file for its directory if its name says so (LICENSE, LICENCE, COPYING, NOTICE, with any ending) and it has a header, or if the text as a whole reaches ``least``. Files without a header take the licence of the nearest directory above them that has a licence file: distinct directories are joined with their ancestors, the deepest match counts, and files join their own directory.
 
-Lines without any of the words that carry a template's weight can't reach ``least``; the filter on them is exact: for each template, the heaviest words are taken until the rest weighs less than least**2.
+Lines without any of the words that carry a template's weight can't reach ``least``; the filter on them is exact: for each template, the heaviest words (numbers last) are taken until the rest weighs less than least**2.
 
 Null texts are empty and have no header; null paths are the empty path in the root directory. Ties between licences go to the higher cosine, then to the first name. Rows with equal paths are one file (its header is the best of theirs), and each row gets the result. An empty table gives no rows.
 """
@@ -36,13 +36,15 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
-LEAST = 0.6
+# Words that say little; neither templates nor texts count them.
+STOP = ("a", "an", "and", "any", "by", "in", "into", "is", "of", "the", "this", "to", "under")
+LEAST = 0.75
 LICENCE_NAME = r"(?i)^(license|licence|copying|notice)([.-].*)?$"
 WORD = "[^a-z0-9]+"
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in re.split(WORD, text.lower()) if w]
+    return [w for w in re.split(WORD, text.lower()) if w and w not in STOP]
 
 
 class Weights:
@@ -62,7 +64,7 @@ class Weights:
             unit = {w: x / norm for w, x in raw.items()}
             self.vectors += [(k, name, w, x) for w, x in unit.items()]
             rest = 1.0
-            for w, x in sorted(unit.items(), key=lambda p: (-p[1], p[0])):
+            for w, x in sorted(unit.items(), key=lambda p: (not p[0].isalpha(), -p[1], p[0])):
                 if rest < least * least:
                     break
                 needed.add(w)
@@ -77,7 +79,7 @@ def cosines(units: DataFrame, weights: Weights, least: float) -> DataFrame:
     spark = units.sparkSession
     idf = spark.createDataFrame([(w, float(x)) for w, x in weights.idf.items()], "w string, idf double")
     vectors = spark.createDataFrame([(k, name, w, float(x)) for k, name, w, x in weights.vectors], "template int, name string, w string, x double")
-    words = units.select("path", "line", F.explode(F.split(F.lower("t"), WORD)).alias("w")).where("w <> ''")
+    words = units.select("path", "line", F.explode(F.split(F.lower("t"), WORD)).alias("w")).where((F.col("w") != "") & ~F.col("w").isin(*STOP))
     counted = words.groupBy("path", "line", "w").agg(F.count(F.lit(1)).alias("tf"))
     # The templates' words: a list of fixed length.
     weighed = counted.join(F.broadcast(idf), "w", "left").select("path", "line", "w", (F.col("tf") * F.coalesce("idf", F.lit(weights.other))).alias("x"))
@@ -140,7 +142,7 @@ own AS (SELECT doc_id, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/
 cut AS (SELECT path, string_split(text, chr(10)) AS l, text FROM own),
 units AS (SELECT path, unnest(range(len(l))) AS line, unnest(l) AS t FROM cut UNION ALL SELECT path, -1, text FROM cut),
 words AS (SELECT path, line, unnest(regexp_split_to_array(lower(t), '{WORD}')) AS w FROM units),
-counted AS (SELECT path, line, w, count(*) AS tf FROM words WHERE w <> '' GROUP BY ALL),
+counted AS (SELECT path, line, w, count(*) AS tf FROM words WHERE w <> '' AND w NOT IN {STOP} GROUP BY ALL),
 weighed AS (SELECT path, line, c.w, tf * coalesce(idf, {w.other!r}::DOUBLE) AS x FROM counted c LEFT JOIN idf ON c.w = idf.w),
 norm AS (SELECT path, line, sqrt(sum(x * x)) AS norm FROM weighed GROUP BY ALL),
 dots AS (SELECT path, line, template, name, sum(x * y) AS dot FROM weighed JOIN vec USING (w) GROUP BY ALL),
