@@ -69,8 +69,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets
         for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
             own = [bags[i] for i in at]
             sizes = np.array([len(f) for f, _ in own])
-            ids = np.concatenate([f for f, _ in own]) if sizes.sum() else np.zeros(0, np.int64)
-            share_of = np.concatenate([c * (scale / c.sum()) if len(c) else c for _, c in own]).astype(np.float32) if sizes.sum() else np.zeros(0, np.float32)
+            ids = np.concatenate([f for f, _ in own]).astype(np.int64) if sizes.sum() else np.zeros(0, np.int64)
+            share_of = np.concatenate([c * np.float32(scale / c.sum(dtype=np.float64)) if len(c) else c for _, c in own]).astype(np.float32) if sizes.sum() else np.zeros(0, np.float32)
             row = np.repeat(np.arange(len(at)), sizes)
             V = np.stack([np.bincount(row, weights=E[ids, k] * share_of, minlength=len(at)) for k in range(dim)], 1).astype(np.float32)
             z = V @ W + b
@@ -143,14 +143,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # At most ``sample`` pairs of numbers.
     rows = docs.select(F.col(id_col).alias("_id"), utf8(text_col).alias("_b")).join(F.broadcast(chosen), "_id").select("_id", "_b", "_y")
 
+    kind = "<u2" if buckets <= 1 << 16 else "<u4"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [bag(t.decode("utf-8", "replace"), buckets) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array([f.astype("<u4").tobytes() for f, _ in found], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in found], pa.binary()), b.column(2)], names=["id", "f", "c", "y"])
-
-    got = rows.mapInArrow(run, "id string, f binary, c binary, y int").toPandas().sort_values(["id", "f"])
-    bags = [(np.frombuffer(f, "<u4").astype(np.int64), np.frombuffer(c, "<u4").astype(np.int64)) for f, c in zip(got.f, got.c)]
-    return train(bags, got.y.to_numpy(), buckets)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array([f.astype(kind).tobytes() for f, _ in found], pa.binary()), pa.array([c.astype("<f4").tobytes() for _, c in found], pa.binary()), b.column(2)], names=["id", "f", "c", "y"])
+
+    # The bags stay in the Arrow buffers that they arrive in.
+    got = rows.mapInArrow(run, "id string, f binary, c binary, y int").toArrow()
+    ids, y = got.column("id").to_pylist(), got.column("y").to_numpy()
+    views = [[(np.frombuffer(chunk[k].as_buffer(), dtype)) for chunk in got.column(name).chunks for k in range(len(chunk))] for name, dtype in (("f", kind), ("c", "<f4"))]
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], views[0][k].tobytes()[:64]))
+    return train([(views[0][k], views[1][k]) for k in order], y[order], buckets)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
