@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, stored, utf8
 
 #: Chunks (words with the space before them) that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 
 class _Chunks(dict):
     """Chunk -> number; new chunks are noted."""

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import suffixes
-from .common import bounded_batches, release_shuffles, stored, utf8
+from .common import bounded_batches, lean, release_shuffles, stored, utf8
 
 WIDTH, GRAM = suffixes.WIDTH, 32
 SPREAD = WIDTH - GRAM + 1  # strings of GRAM bytes in a window
-SLICE = 2_000_000  # bytes of text that are scanned at once
-ENTRIES = 1_000_000  # regions that a task gathers before it sends them on
+SLICE = 600_000  # bytes of text that are scanned at once
+ENTRIES = 400_000  # regions that a task gathers before it sends them on
 #: Bytes of text for each bucket of anchors, and of regions for each bucket of transforms.
-ANCHOR_BYTES, REGION_BYTES = 12_000_000, 1_500_000
+ANCHOR_BYTES, REGION_BYTES = 8_000_000, 800_000
 #: Distinct regions of an anchor above which its windows are dealt one by one.
 FREQUENT = 20_000
 NO_ID = np.int64(2**63 - 1)
@@ -55,6 +55,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.cumprod(p), np.cumprod(q), table
 
 
+def forget_powers() -> None:
+    _powers.cache_clear()
+
+
 def _slide(x: np.ndarray, width: int) -> np.ndarray:
     """The least of each ``width`` neighbours."""
     done = 1
@@ -355,8 +359,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = own.agg(F.sum(F.octet_length("b"))).first()[0] or 0
     anchor_tasks = max(8, int(total // ANCHOR_BYTES) + 1)
     anchor_buckets = doc_buckets = 8 * anchor_tasks
-    scanned = own.select("doc", "version", "b").mapInArrow(_scan(anchor_buckets, doc_buckets), SENT)
-    met = scanned.repartition(anchor_tasks, "bucket").mapInArrow(_meet(doc_buckets, frequent), SENT)
+    scanned = own.select("doc", "version", "b").mapInArrow(lean(_scan(anchor_buckets, doc_buckets), forget_powers), SENT)
+    met = scanned.repartition(anchor_tasks, "bucket").mapInArrow(lean(_meet(doc_buckets, frequent)), SENT)
     found = stored(met, "passages")
     release_shuffles(spark)
 
@@ -364,8 +368,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = found.where(F.col("kind") == ASKED)
     n = asked.agg(F.sum("n")).first()[0] or 0
     region_tasks = max(8, int(n * 140 // REGION_BYTES) + 1)
-    cut = _with_texts(bucketed.select("doc", "version", "b", "bucket"), asked, doc_buckets, []).mapInArrow(_cut(region_tasks * 4), SENT)
-    windows = stored(cut.repartition(region_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge(doc_buckets), SENT), "passages")
+    cut = _with_texts(bucketed.select("doc", "version", "b", "bucket"), asked, doc_buckets, []).mapInArrow(lean(_cut(region_tasks * 4)), SENT)
+    windows = stored(cut.repartition(region_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_merge(doc_buckets)), SENT), "passages")
     release_shuffles(spark)
 
     spans = found.where(F.col("kind") == WHOLE).unionByName(windows)
@@ -398,7 +402,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(3), pa.array(n, pa.int64()), pa.array(found, span_type), pa.array(left, pa.binary()), pa.array(sha, pa.string()), *b.columns[5:]], names=names)
 
     schema = f"`{id_col}` long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, kept_sha256 string" + "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return joined.mapInArrow(finish, schema)
+    return joined.mapInArrow(lean(finish), schema)
 
 
 def digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, dealt, groups, release_shuffles, stored, utf8
+from .common import bounded_batches, dealt, groups, lean, release_shuffles, stored, utf8
 from .graph import components
 from .pivots import local_forest
 
@@ -29,7 +29,7 @@ RECALL = 0.99999
 #: Sketches that agree in a smaller part than this have no similarity of 0.8: five standard deviations below.
 POSSIBLE = 0.55
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 NO_ID = 2**63 - 1
 U = np.uint64
 
@@ -49,6 +49,10 @@ class _Words(dict):
 _words = _Words()
 
 
+def forget_words() -> None:
+    _words.clear()
+
+
 def shingle_set(text: str, words: int = WORDS) -> np.ndarray:
     """Sorted 64-bit hashes of a text's shingles."""
     if len(_words) > REMEMBERED:
@@ -115,7 +119,7 @@ def describe(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(n, pa.int64()), pa.array(sk, pa.binary())], names=["id", "version", "h1", "h2", "n", "sketch"])
 
     own = df.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("b"))
-    return own.select("id", F.xxhash64("b").alias("version"), "b").mapInArrow(run, "id long, version long, h1 long, h2 long, n long, sketch binary")
+    return own.select("id", F.xxhash64("b").alias("version"), "b").mapInArrow(lean(run, forget_words), "id long, version long, h1 long, h2 long, n long, sketch binary")
 
 
 def _sketches(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -281,7 +285,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
                 some = t.select(["node", "i", "j", "side", "h1", "h2", "nodes"]).take(pa.array(hit))
                 yield from some.combine_chunks().to_batches()
 
-    asked = stored(grouped.mapInArrow(probe, "node long, i int, j int, side int, h1 long, h2 long, nodes array<long>"), "asked")
+    asked = stored(grouped.mapInArrow(lean(probe), "node long, i int, j int, side int, h1 long, h2 long, nodes array<long>"), "asked")
     release_shuffles(spark)
     # The texts of the classes that have a possible partner, once each, then their sets to each task that compares them.
     needed = asked.select("h1", "h2").distinct().join(classes.select("h1", "h2", "mult", F.col("rep.id").alias("id"), F.col("rep.version").alias("version")), ["h1", "h2"])
@@ -294,7 +298,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), sets, b.column(4), b.column(5)], names=["h1", "h2", "mult", "s", "tasks", "nodes"])
 
     task_type = "array<struct<node: long, i: int, j: int, side: int>>"
-    sets = own.select("h1", "h2", "mult", "b", "tasks", "nodes").mapInArrow(to_sets, f"h1 long, h2 long, mult long, s binary, tasks {task_type}, nodes array<long>")
+    sets = own.select("h1", "h2", "mult", "b", "tasks", "nodes").mapInArrow(lean(to_sets, forget_words), f"h1 long, h2 long, mult long, s binary, tasks {task_type}, nodes array<long>")
     spread = sets.select("h1", "h2", "mult", "s", "nodes", F.explode("tasks").alias("t")).select("t.node", "t.i", "t.j", "t.side", "h1", "h2", "mult", "s", "nodes")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +313,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
                 cols = (h1[some], h2[some], links[some], h1[root[some]], h2[root[some]])
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h1", "h2", "links", "r1", "r2"])
 
-    found = stored(spread.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(compare, "h1 long, h2 long, links long, r1 long, r2 long"), "found")
+    found = stored(spread.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(lean(compare), "h1 long, h2 long, links long, r1 long, r2 long"), "found")
     release_shuffles(spark)
     counted = found.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
     names = classes.select("h1", "h2", F.col("rep.id").alias("name"))

@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, utf8
+from .common import bounded_batches, lean, utf8
 
 BUCKETS = 1 << 16
 NGRAMS = (3, 4, 5)
 SAMPLE = 6000
 DIM = 8
 #: Words that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 EDGE = "\"'`.,;:!?()[]{}<>|*#%&$@~^_=+-/\\…«»“”‘’¡¿"
 
 
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array([f.astype(kind).tobytes() for f, _ in found], pa.binary()), pa.array([c.astype("<f4").tobytes() for _, c in found], pa.binary()), b.column(2)], names=["id", "f", "c", "y"])
 
     # The bags stay in the Arrow buffers that they arrive in.
-    got = rows.mapInArrow(run, "id string, f binary, c binary, y int").toArrow()
+    got = rows.mapInArrow(lean(run), "id string, f binary, c binary, y int").toArrow()
     ids, y = got.column("id").to_pylist(), got.column("y").to_numpy()
     views = [[(np.frombuffer(chunk[k].as_buffer(), dtype)) for chunk in got.column(name).chunks for k in range(len(chunk))] for name, dtype in (("f", kind), ("c", "<f4"))]
     order = sorted(range(len(ids)), key=lambda k: (ids[k], views[0][k].tobytes()[:64]))
@@ -173,4 +173,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, *keep)}
     schema = ", ".join([f"{id_col} {kinds[id_col]}, held_out boolean, score double, predicted int", *(f"`{c}` {kinds[c]}" for c in keep)])
-    return docs.select(F.col(id_col), held_out(id_col).alias("h"), utf8(text_col).alias("b"), *(F.col(c) for c in keep)).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), held_out(id_col).alias("h"), utf8(text_col).alias("b"), *(F.col(c) for c in keep)).mapInArrow(lean(run), schema)
