@@ -178,7 +178,7 @@ def test_licenses(spark):
 def test_toxicity(docs, spark):
     labels = spark.createDataFrame([(k, None if k == 3 else int(k % 5 == 0)) for k in range(40)] + [(None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, sample=30)
-    got = toxicity.score(docs, model, keep=("score",)).collect() if False else toxicity.score(docs, model, keep=("bucket",)).collect()
+    got = toxicity.score(docs, model, keep=("bucket",)).collect()
     assert len(got) == docs.count() and all(0 <= r["score"] <= 1 and r["bucket"] == "clash" for r in got)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got if r["doc_id"] is not None)
     assert toxicity.fit(docs, labels.limit(0)).score(0, 0) == 0.5
