@@ -74,6 +74,34 @@ class Weights:
         self.pattern = "(?i)(?:^|[^a-z0-9])(?:" + "|".join(self.needed) + ")(?:[^a-z0-9]|$)"
 
 
+def possible(units: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """The units that may reach ``least``, told inside each row, before any word is sent.
+
+    Two bounds, both exact: a cosine is at most the length of the template's part whose words are there; and at most the length of the unit's part in template words, whose frequencies are at most their number, against that part and the distinct other words together.
+    """
+    vocabulary = sorted(weights.idf)
+    heaviest = max(weights.idf.values())
+    known = F.array(*map(F.lit, vocabulary))
+    by: dict[int, list] = {}
+    for k, _, w, x in weights.vectors:
+        by.setdefault(k, []).extend((F.lit(w), F.lit(x * x)))
+    squares = [F.create_map(*v) for v in by.values()]
+    slack = least * least - 1e-6  # cosines are rounded to six digits
+
+    def part(there: F.Column, weight: F.Column) -> F.Column:
+        return F.aggregate(there, F.lit(0.0), lambda a, w: a + F.coalesce(weight[w], F.lit(0.0)))
+
+    def may(s: F.Column) -> F.Column:
+        mine = F.pow(s["hits"] * heaviest, F.lit(2.0))
+        rest = (s["distinct"] - F.size(s["there"])) * weights.other**2
+        return (mine >= slack * (mine + rest)) & (F.greatest(*(part(s["there"], m) for m in squares), F.lit(0.0)) >= slack)
+
+    # One expression: what is used more than once is a lambda's variable, so that it is worked out once.
+    words = F.filter(F.split(F.lower("t"), WORD), lambda w: (w != "") & ~w.isin(*STOP))
+    facts = F.transform(F.array(words), lambda ws: F.struct(F.array_intersect(ws, known).alias("there"), F.size(F.filter(ws, lambda w: w.isin(*vocabulary))).alias("hits"), F.size(F.array_distinct(ws)).alias("distinct")))
+    return units.where(F.exists(facts, may))
+
+
 def cosines(units: DataFrame, weights: Weights, least: float) -> DataFrame:
     """(path, line, name, cosine): for each unit of text (path, line, t), its best license of cosine ``least`` or more."""
     spark = units.sparkSession
@@ -101,7 +129,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     hopeful = own.where(F.col("text").rlike(weights.pattern)).select("path", "text")
     lines = hopeful.select("path", F.posexplode(F.split("text", "\n")).alias("line", "t")).where(F.col("t").rlike(weights.pattern))
     units = lines.unionByName(hopeful.select("path", F.lit(-1).alias("line"), F.col("text").alias("t")))
-    best = cosines(units, weights, least)
+    best = cosines(possible(units, weights, least), weights, least)
     pick = F.min(F.struct((-F.col("cosine")).alias("c"), "name"))
     per_file = best.groupBy("path").agg(F.min(F.when(F.col("line") >= 0, F.struct((-F.col("cosine")).alias("c"), "name"))).alias("head"), F.min(F.when(F.col("line") < 0, F.struct((-F.col("cosine")).alias("c"), "name"))).alias("whole"))
     named = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_NAME)
