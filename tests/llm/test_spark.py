@@ -115,6 +115,15 @@ def test_components(spark):
     assert {got[k] for k in range(31)} == {0} and got[101] == 100 and got[339] == 200
 
 
+def test_components_of_a_long_path(spark):
+    ids = list(range(1, 400))
+    random.Random(11).shuffle(ids)
+    rising = [(1000 + k, 1001 + k) for k in range(199)] + [(1199, 999)]  # the least node at the far end
+    edges = list(zip(ids, ids[1:])) + rising
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert {got[k] for k in ids} == {1} and {got[k] for k in range(999, 1200)} == {999}
+
+
 def test_row_local_operators(docs):
     model, bpe = tokenizer_path("piece_bpe_32k.model"), tokenizer_path("byte_bpe_50k.json")
     rows = {r["doc_id"]: (r["text"] or "") for r in docs.collect()}

@@ -8,17 +8,19 @@ from pyspark.sql import functions as F
 from .common import drop_stored, stored
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node reachable, for every node in ``edges`` (a, b).
 
-    Each round takes the least label among a node's neighbours (a minimum, which is combined before the shuffle, so that a node with very many links is no burden), then the label's own label, so that long chains shrink by half. Labels are written out between rounds. Ends when nothing changes.
+    Each round takes the least label among a node's neighbours, and sends it to the node that the old label names as well, so that whole trees are hooked onto others (minima, which are combined before the shuffle, so that a node with very many links is no burden); then the label's own label, so that long chains shrink by half. The rounds grow with the logarithm of a chain's length. Labels are written out between rounds. Ends when nothing changes, and not before.
     """
     spark = edges.sparkSession
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        least = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("now"))
+        seen = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("near"))
+        hooks = seen.where("near < label").groupBy(F.col("label").alias("node")).agg(F.min("near").alias("hook"))
+        least = seen.join(hooks, "node", "left").select("node", "label", F.least("near", F.coalesce("hook", "near")).alias("now"))
         jump = labels.select(F.col("node").alias("now"), F.col("label").alias("further"))
         after = stored(least.join(jump, "now", "left").select("node", F.least("now", F.coalesce("further", "now")).alias("label"), (F.least("now", F.coalesce("further", "now")) != F.col("label")).alias("moved")), "labels")
         moved = after.where("moved").limit(1).count()
