@@ -184,6 +184,25 @@ def test_licenses(spark):
     assert licenses.scan(df).count() == len(rows) and licenses.scan(df.limit(0)).count() == 0
 
 
+def test_licenses_over_lines_and_inside_them(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice."
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\nimport os"
+    texts = {
+        "Apache-2.0": ["/* Licensed under the Apache License,\n * Version 2.0 */", "Apache License\nVersion 2.0, January 2004\nand terms"],
+        "GPL-3.0": [gpl, "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"],
+        "MPL-2.0": ["Mozilla Public License Version 2.0"],
+        "BSL-1.0": ["Boost Software License - Version 1.0 - August 17th, 2003"],
+        "BSD-2-Clause": ["Copyright 2020\n\n" + bsd],
+        "BSD-3-Clause": [bsd + "\n\n3. Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission."],
+        "ISC": ["Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED AS IS"],
+        "MIT": ["# SPDX-License-Identifier: MIT\nx = 1", "Copyright (c) 2020 Some Company. All rights reserved. Licensed under the MIT License. See LICENSE in the project root for details."],
+        None: ["the license of this software is free, version 2 of the public words\nwas released by a person"],
+    }
+    rows = [(f"{k}-{n}/{i}.txt", t) for k, (n, ts) in enumerate(texts.items()) for i, t in enumerate(ts)]
+    want = {f"{k}-{n}/{i}.txt": n for k, (n, ts) in enumerate(texts.items()) for i in range(len(ts))}
+    assert {r["path"]: r["license"] for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()} == want
+
+
 def test_toxicity(docs, spark):
     labels = spark.createDataFrame([(k, None if k == 3 else int(k % 5 == 0)) for k in range(40)] + [(None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, sample=30)

@@ -4,6 +4,8 @@ Each line of a file, and the file as a whole, is a sparse TF-IDF vector over low
 
 Lines without any of the words that carry a template's weight can't reach ``least``; the filter on them is exact: for each template, the heaviest words (numbers last) are taken until the rest weighs less than least**2.
 
+Notices also stand in the middle of a line, or run over several. Windows of up to ``WINDOW`` lines and up to two sentences (over line breaks, and cut before the usual first words of a notice) are compared with the notices and with ``HEADERS``: standard headers, titles and first sentences of licence texts, and SPDX marks; they count in files in which no line reaches ``least``. Only files that hold enough of one template's words are cut into windows; that bound is exact.
+
 Null texts are empty and have no header; null paths are the empty path in the root directory. Ties between licences go to the higher cosine, then to the first name. Rows with equal paths are one file (its header is the best of theirs), and each row gets the result. An empty table gives no rows.
 """
 
@@ -16,6 +18,8 @@ from collections import Counter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 # The usual notices of common licenses.
 TEMPLATES = (
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
@@ -36,6 +40,40 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 )
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version"
+_SPDX = ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense")
+# Standard headers, and titles and first sentences of licence texts.
+HEADERS = (
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("AGPL-3.0", _GNU.format("Affero ", 3)),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-2.0", _GNU.format("", 2)),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-3.0", _GNU.format("", 3)),
+    ("ISC", "ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", _GNU.format("Lesser ", 3)),
+    ("MIT", "Licensed under the MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    *((name, f"SPDX-License-Identifier: {name}") for name in _SPDX),
+)
+# A text that has both is the second one's: the first one's sentence stands in it as well.
+PART_OF = ("BSD-2-Clause", "BSD-3-Clause")
+WINDOW = 5
+SENTENCE = r"(?i)(?<=[.;:!?])\s+|\n\s*\n|\s+(?=(?:licensed|released|distributed|dedicated|permission|redistribution|spdx)\b)"
 # Words that say little; neither templates nor texts count them.
 STOP = ("a", "an", "and", "any", "by", "in", "into", "is", "of", "the", "this", "to", "under")
 LEAST = 0.75
@@ -102,6 +140,33 @@ def possible(units: DataFrame, weights: Weights, least: float) -> DataFrame:
     return units.where(F.exists(facts, may))
 
 
+def holding(files: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """The files (path, text) of which some part may reach ``least``: those that hold the words of that much of a template. Told inside each row."""
+    vocabulary = F.array(*map(F.lit, sorted(weights.idf)))
+    by: dict[int, list] = {}
+    for k, _, w, x in weights.vectors:
+        by.setdefault(k, []).extend((F.lit(w), F.lit(x * x)))
+    squares = F.array(*(F.create_map(*v) for v in by.values()))
+    slack = least * least - 1e-6
+    there = F.array(F.array_intersect(F.split(F.lower("text"), WORD), vocabulary))
+    enough = lambda ws: F.exists(squares, lambda m: F.aggregate(ws, F.lit(0.0), lambda a, w: a + F.coalesce(m[w], F.lit(0.0))) >= slack)
+    return files.where(F.exists(there, enough))
+
+
+def windows(files: DataFrame, pattern: str) -> DataFrame:
+    """(path, line, t): every window of lines and of sentences with one of the needed words. line: the window's hash, so that equal windows of a path are one."""
+
+    def of(l: F.Column, n: int) -> F.Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(l) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(l, i, n), "\n"))
+
+    def runs(parts: F.Column, length: int) -> F.Column:
+        own = F.filter(parts, lambda p: p.rlike("(?i)[a-z0-9]"))
+        return F.flatten(F.transform(F.array(own), lambda l: F.flatten(F.array(*(of(l, n) for n in range(1, length + 1))))))
+
+    cut = files.select("path", F.explode(F.concat(runs(F.split("text", "\n"), WINDOW), runs(F.split("text", SENTENCE), 2))).alias("t"))
+    return cut.where(F.col("t").rlike(pattern)).select("path", F.xxhash64("t").alias("line"), "t").distinct()
+
+
 def cosines(units: DataFrame, weights: Weights, least: float) -> DataFrame:
     """(path, line, name, cosine): for each unit of text (path, line, t), its best license of cosine ``least`` or more."""
     spark = units.sparkSession
@@ -122,7 +187,7 @@ def directory(path: F.Column) -> F.Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST, keep: tuple[str, ...] = ()) -> DataFrame:
+def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST, keep: tuple[str, ...] = (), headers: tuple[tuple[str, str], ...] = HEADERS) -> DataFrame:
     """(path, license, origin, cosine, licence_dir, *keep) for every row. origin: 'header', 'inherited' or null; licence_dir: the directory whose licence is inherited."""
     weights = Weights(templates, least)
     own = files.select(F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)))
@@ -132,6 +197,15 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     best = cosines(possible(units, weights, least), weights, least)
     pick = F.min(F.struct((-F.col("cosine")).alias("c"), "name"))
     per_file = best.groupBy("path").agg(F.min(F.when(F.col("line") >= 0, F.struct((-F.col("cosine")).alias("c"), "name"))).alias("head"), F.min(F.when(F.col("line") < 0, F.struct((-F.col("cosine")).alias("c"), "name"))).alias("whole"))
+    # Windows. They count where no line is a header.
+    wide = Weights((*templates, *headers), least)
+    held = holding(own.where(F.col("text").rlike(wide.pattern)).select("path", "text"), wide, least)
+    seen = cosines(stored(possible(windows(held, wide.pattern), wide, least), "windows"), wide, least)
+    m = F.struct((-F.col("cosine")).alias("c"), "name")
+    part, whole = PART_OF
+    wider = seen.groupBy("path").agg(F.min(F.when(F.col("name") != part, m)).alias("other"), F.min(F.when(F.col("name") == part, m)).alias("part"), F.max(F.col("name") == whole).alias("has")).select("path", F.array_min(F.array("other", F.when(~F.col("has"), F.col("part")))).alias("wide"))
+    per_file = per_file.join(wider, "path", "full").select("path", F.coalesce("head", "wide").alias("head"), "whole")
+    per_file = stored(per_file, "headers")  # read twice
     named = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENCE_NAME)
     governs = per_file.select(directory(F.col("path")).alias("dir"), F.coalesce("whole", F.when(named, F.col("head"))).alias("m")).where("m is not null")
     licences = governs.select("dir", F.col("m.name").alias("name"), (-F.col("m.c")).alias("cosine")).groupBy("dir").agg(pick.alias("m")).select("dir", F.col("m.name").alias("d_name"), (-F.col("m.c")).alias("d_cosine"))
