@@ -162,6 +162,20 @@ def test_chat_spans_and_rewriting():
     assert [r.add("u", "x").rewrites for _ in range(3)] == [True, True, True]
 
 
+def test_chat_whole_prefixes():
+    render = lambda ms: "".join(f"[{k}] {m['text']}\n" for k, m in enumerate(ms, 1))
+    r = chat.Renderer(chat.Template(render, str, lambda s: ("", s)), 64)
+    assert [r.add("u", "x").span for _ in range(140)] == [f"[{k}] x\n" for k in range(1, 141)]
+    local = chat.Renderer(chat.Template(render, str, lambda s: ("", s), local=True), 64)
+    with pytest.raises(ValueError, match="local"):
+        for _ in range(65):
+            local.add("u", "x")
+    # The last turn carries a mark: each turn takes it off the one before.
+    r = chat.Renderer(chat.Template(lambda ms: "".join(m["text"] + ";" for m in ms) + ("!" if ms else ""), str, lambda s: ("", s)), 64)
+    turns = [r.add("u", "ab") for _ in range(3)]
+    assert [(t.span, t.rewrites, t.lost) for t in turns] == [("ab;!", False, 0), ("ab;!", True, 1), ("ab;!", True, 1)]
+
+
 def test_toxicity_learns_subwords():
     random.seed(1)
     words = ["".join(random.choice(["ka", "lo", "mi", "tu", "re", "so"]) for _ in range(random.randint(1, 4))) for _ in range(300)]

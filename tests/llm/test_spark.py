@@ -173,6 +173,12 @@ def test_chat(spark):
     assert chat.conversation_digest(chat.format_turns(df.limit(0))).count() == 0
 
 
+def test_chat_places_of_rewritten_turns(spark):
+    marked = chat.Template(lambda ms: "".join(m["text"] + ";" for m in ms) + ("!" if ms else ""), str, lambda s: ("", s))
+    df = spark.createDataFrame([(1, k, "u", "ab") for k in range(3)], "conv_id long, turn long, role string, text string")
+    assert [(r["begin"], r["end"]) for r in chat.format_turns(df, marked).collect()] == [(0, 4), (3, 7), (6, 10)]
+
+
 def test_licenses(spark):
     mit = "Released under the MIT License."
     rows = [("a/LICENSE", mit), ("a/b/x.txt", "words\nand words"), ("a/b/LICENSE.md", "Licensed under the Apache License, Version 2.0."), ("a/b/c/y.txt", None), ("z.txt", "nothing"), ("a/b/c/z.txt", "lots of words here\n" + mit), (None, ""), ("a/b/x.txt", "words\nand words")]

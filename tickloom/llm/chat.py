@@ -2,7 +2,7 @@
 
 A template is a function from a list of messages to a text; nothing else is known about it. Successive turn prefixes are rendered, and consecutive outputs are compared: where the longer one begins with the shorter one, the rest is the new turn's span; where it doesn't, the template rewrites history, which is reported. A turn's text inside its span is found by rendering the turn again with two probe texts: what both share before and after the probe is the template's own.
 
-Rows are dealt by conversation and streamed in turn order. A task keeps ``window`` turns: up to that many, prefixes are whole; in longer conversations a prefix begins ``window`` turns back (a template may look that far), so that neither memory nor time depends on a conversation's length.
+Rows are dealt by conversation and streamed in turn order. Prefixes are whole, so a task holds a conversation's turns, and its time grows with their square. Only for a template that declares itself ``local`` (a turn's rendering depends neither on the turns before nor on their number) a prefix begins at most ``window`` turns back, so that neither memory nor time depends on a conversation's length. Each time its prefix is cut, both renderings are compared, and a template that isn't local after all is an error.
 
 Null texts and roles are empty; rows without a conversation id form one conversation; turns that are equal in number are ordered by role and text, and repeated rows are turns of their own. An empty table gives no rows.
 """
@@ -28,11 +28,12 @@ PROBES = ("\ue000", "\ue001")
 
 @dataclass(frozen=True)
 class Template:
-    """``render``: messages to text. ``unescape``: a rendered text to what it stands for. ``read``: a turn's span to (role, text)."""
+    """``render``: messages to text. ``unescape``: a rendered text to what it stands for. ``read``: a turn's span to (role, text). ``local``: a turn's rendering depends neither on the turns before nor on their number."""
 
     render: Callable[[Messages], str]
     unescape: Callable[[str], str]
     read: Callable[[str], tuple[str, str]]
+    local: bool = False
 
 
 def escape(text: str, control: str = "\\#<") -> str:
@@ -63,17 +64,18 @@ def read_marked(span: str) -> tuple[str, str]:
     return unescape(body[:at]), unescape(body[at + 2 :])
 
 
-MARKED = Template(render_marked, unescape, read_marked)
+MARKED = Template(render_marked, unescape, read_marked, local=True)
 
 
 @dataclass
 class Turn:
-    """``span``: the turn's part of the output; ``inside``: where its text lies in the span, (-1, -1) if that can't be told; ``rewrites``: the output before didn't stay as it was; ``shared``: how much of it did."""
+    """``span``: the turn's part of the output; ``inside``: where its text lies in the span, (-1, -1) if that can't be told; ``rewrites``: the output before didn't stay as it was; ``shared``: how much of it did; ``lost``: how much didn't."""
 
     span: str
     inside: tuple[int, int]
     rewrites: bool
     shared: int
+    lost: int = 0
 
 
 def next_turn(before: Messages, message: dict[str, str], rendered: str, template: Template) -> tuple[Turn, str]:
@@ -81,7 +83,7 @@ def next_turn(before: Messages, message: dict[str, str], rendered: str, template
     out = template.render([*before, message])
     if not out.startswith(rendered):
         shared = len(os.path.commonprefix([rendered, out]))
-        return Turn(out[shared:], (-1, -1), True, shared), out
+        return Turn(out[shared:], (-1, -1), True, shared, len(rendered) - shared), out
     span = out[len(rendered) :]
     a, b = (template.render([*before, message | {"text": p}]) for p in PROBES)
     head = len(os.path.commonprefix([a, b]))
@@ -92,7 +94,7 @@ def next_turn(before: Messages, message: dict[str, str], rendered: str, template
 
 
 class Renderer:
-    """Turns of one conversation, one after the other, with ``window`` turns in memory."""
+    """Turns of one conversation, one after the other; if the template is local, with ``window`` turns in memory."""
 
     def __init__(self, template: Template, window: int):
         self.template, self.window = template, window
@@ -100,14 +102,21 @@ class Renderer:
         self.rendered = template.render([])
 
     def add(self, role: str, text: str) -> Turn:
-        if len(self.before) >= self.window:
-            self.before = self.before[self.window // 2 :]
-            self.rendered = self.template.render(self.before)
+        if self.template.local and len(self.before) >= self.window:
+            self.shift()
         message = {"role": role, "text": text}
         turn, self.rendered = next_turn(self.before, message, self.rendered, self.template)
         self.before.append(message)
         return turn
 
+    def shift(self) -> None:
+        """Takes the older half of the turns off."""
+        half = max(1, self.window // 2)
+        empty, off, kept = (self.template.render(m) for m in ([], self.before[:half], self.before[half:]))
+        if not (self.rendered.startswith(off) and kept.startswith(empty) and self.rendered[len(off) :] == kept[len(empty) :]):
+            raise ValueError("the template declares itself local, but its turns depend on those before")
+        self.before, self.rendered = self.before[half:], kept
+
 
 TURNS = "n long, role string, begin long, end long, text_begin long, text_end long, span string, rewrites boolean"
 
@@ -129,7 +138,7 @@ def format_turns(df: DataFrame, template: Template = MARKED, conv_col: str = "co
                     current, renderer, n, at = c, Renderer(template, window), 0, 0
                     at = len(renderer.rendered)
                 turn = renderer.add(r, x)
-                begin = at if not turn.rewrites else max(0, at - (len(renderer.rendered) - len(turn.span) - turn.shared))
+                begin = at - turn.lost
                 inside = [begin + p if p >= 0 else -1 for p in turn.inside]
                 rows.append((n, r, begin, begin + len(turn.span), *inside, turn.span, turn.rewrites))
                 n, at = n + 1, begin + len(turn.span)
