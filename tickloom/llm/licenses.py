@@ -66,7 +66,6 @@ HEADERS = (
     ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
     ("LGPL-3.0", _GNU.format("Lesser ", 3)),
     ("MIT", "Licensed under the MIT License"),
-    ("MIT", "The MIT License (MIT)"),
     ("MPL-2.0", "Mozilla Public License Version 2.0"),
     *((name, f"SPDX-License-Identifier: {name}") for name in _SPDX),
 )
@@ -199,8 +198,10 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     per_file = best.groupBy("path").agg(F.min(F.when(F.col("line") >= 0, F.struct((-F.col("cosine")).alias("c"), "name"))).alias("head"), F.min(F.when(F.col("line") < 0, F.struct((-F.col("cosine")).alias("c"), "name"))).alias("whole"))
     # Windows. They count where no line is a header.
     wide = Weights((*templates, *headers), least)
+    # One word alone is no notice ('mit' is a German word).
+    several = F.size(F.array_intersect(F.split(F.lower("t"), WORD), F.array(*map(F.lit, sorted(wide.idf))))) > 1
     held = holding(own.where(F.col("text").rlike(wide.pattern)).select("path", "text"), wide, least)
-    seen = cosines(stored(possible(windows(held, wide.pattern), wide, least), "windows"), wide, least)
+    seen = cosines(stored(possible(windows(held, wide.pattern), wide, least).where(several), "windows"), wide, least)
     m = F.struct((-F.col("cosine")).alias("c"), "name")
     part, whole = PART_OF
     wider = seen.groupBy("path").agg(F.min(F.when(F.col("name") != part, m)).alias("other"), F.min(F.when(F.col("name") == part, m)).alias("part"), F.max(F.col("name") == whole).alias("has")).select("path", F.array_min(F.array("other", F.when(~F.col("has"), F.col("part")))).alias("wide"))
