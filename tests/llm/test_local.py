@@ -97,6 +97,8 @@ def test_byte_tokens_and_packing():
     tok = packing.byte_tokens(tokenizer_path("byte_bpe_50k.json"))
     random.seed(6)
     texts = ["".join(random.choice([*" \n\tabé中'st.,9<|>", "<|endoftext|>", " the", "'re", "　"]) for _ in range(random.randint(0, 60))) for _ in range(1500)]
+    assert tok.coder is not None  # the file is a plain byte-level BPE
+    texts += ["", "ab" * 50_000, "\n" * 20_000 + "x", " " * (packing.BLANK - 1) + "z", "x" + "　" * packing.BLANK + "y", " \n" * 3000 + "<|endoftext|>", "".join(map(chr, range(0x20, 0x2000))), "漢字" * 20_000]
     assert all(a.tolist() == tok.whole(t) for a, t in zip(tok.encode(texts), texts))
     histogram = {n: random.randint(1, 50) for n in random.sample(range(1, 1025), 300)} | {1024: 7}
     patterns = packing.pack_histogram(histogram, 1024)
