@@ -79,18 +79,49 @@ def test_token_counts_with_small_chunks(counter):
     assert spans[0][0] == 0 and len(spans) > 5
 
 
-def test_merge_dropout():
+def plain_agenda(coder, key, text, seed, dropout):
+    """Ids word by word, by the plain agenda, with the keys that the operator documents."""
+    skip = min(int(dropout * (1 << 32)), (1 << 32) - 1)
+    own, out = mergedrop.mixed((key * mergedrop.GOLDEN ^ seed) & mergedrop.MASK), []
+    for place, word in enumerate(mergedrop.SPACES.findall(" " + text) if text else []):
+        for s in coder.segment(word, mergedrop.mixed(own + place * mergedrop.GOLDEN & mergedrop.MASK), skip):
+            out += [s] if s < coder.other else [int(coder.byte_ids[b]) for b in chr(s - coder.other).encode()]
+    return out
+
+
+def test_merge_dropout(monkeypatch):
     coder = mergedrop.merge_coder(tokenizer_path("piece_bpe_32k.model"))
     sp = tokencount.counter(tokenizer_path("piece_bpe_32k.model")).sp
     random.seed(4)
-    texts = ["".join(random.choice([*" \n\tabé中st.,9<>", "  ", " the", "ing"]) for _ in range(random.randint(0, 80))) for _ in range(500)] + ["", " ", "a▁b ▁", "x" * 400]
-    plain = mergedrop.Memory(coder, 0, 0.0, 1).encode([0] * len(texts), texts)
+    texts = ["".join(random.choice([*" \n\tabé中st.,9<>😀", "  ", " the", "ing"]) for _ in range(random.randint(0, 80))) for _ in range(300)] + ["", " ", "  ", "   a  ", "a▁b ▁", "x" * 400, "ing" * 30]
+    keys = list(range(len(texts)))
+    plain = coder.encode(keys, texts)
     assert all(a.tolist() == sp.encode(t) for a, t in zip(plain, texts) if "▁" not in t)
-    one, same, other = (mergedrop.Memory(coder, s, 0.2, 4).encode(list(range(len(texts))), texts) for s in (1, 1, 2))
-    for ids in (plain, one, other):
-        assert all(coder.decode(a.tolist()) == t.encode() for a, t in zip(ids, texts))
-    assert all(a.tolist() == b.tolist() for a, b in zip(one, same))
+    for dropout in (0.0, 0.1, 0.3, 1.0):
+        got = coder.encode(keys, texts, 7, dropout)
+        assert all(a.tolist() == plain_agenda(coder, k, t, 7, dropout) for k, a, t in zip(keys, got, texts))
+        assert all(coder.decode(a.tolist()) == t.encode() for a, t in zip(got, texts))
+    other = coder.encode(keys, texts, 8, 0.3)
+    one = coder.encode(keys, texts, 7, 0.3)
     assert any(a.tolist() != b.tolist() for a, b in zip(one, other)) and any(len(a) > len(b) for a, b in zip(one, plain))
+    # A frequent word gets far more segmentations than a handful, and lots and parts don't matter.
+    word, times = " understanding", 3000
+    many = coder.encode([1], [(word * times)[1:]], 5, 0.3)[0].tolist()
+    kinds, at = set(), 0
+    for n in range(times):
+        own = plain_agenda(coder, 1, (word * (n + 1))[1:], 5, 0.3)[at:] if n < 3 else None
+        end, text = at, b""
+        while len(text) < len(word):
+            text += coder.raw[many[end]]
+            end += 1
+        assert own is None or own == many[at:end]
+        kinds.add(tuple(many[at:end]))
+        at = end
+    assert at == len(many) and len(kinds) > 20
+    long = " ".join(texts)
+    whole = coder.encode([5], [long], 1, 0.2)[0].tolist()
+    monkeypatch.setattr(mergedrop, "LOT", 300)
+    assert coder.encode([5], [long], 1, 0.2)[0].tolist() == whole
 
 
 def test_byte_tokens_and_packing():
