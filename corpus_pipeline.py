@@ -5,11 +5,11 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickloom.llm import packing, passages, shingles, toxicity
-from tickloom.llm.common import stored, table
+from tickloom.llm.common import stored, table, utf8
 from tickloom.llm.queries import tokenizer_path
 
 
@@ -22,9 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the first, of each group of near duplicates. Rows of one id stand or fall together, but of repeated rows one stays."""
-    keep = shingles.join(docs).where("kept").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id", "text"]).join(keep.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept"))).select(*docs.columns)
+    """One document, the first, of each group of near duplicates. Texts of one id are told apart by a hash; of repeated rows one stays."""
+    number = F.coalesce(F.col("doc_id").cast("long"), F.lit(shingles.NO_ID))
+    keep = shingles.join(docs, versions=True).where("kept").select(number.alias("_number"), F.col("version").alias("_version")).distinct()
+    own = docs.withColumn("_number", number).withColumn("_version", F.xxhash64(utf8("text")))
+    # The join and the window share one exchange: a text is sent once.
+    first = F.row_number().over(Window.partitionBy("_number", "_version").orderBy("_number"))
+    return own.join(keep, ["_number", "_version"]).withColumn("_copy", first).where("_copy = 1").select(*docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tickloom.llm import chat, licenses, media, mergedrop, packing, passages, pivots, shingles, tokencount, toxicity
 from tickloom.llm.graph import components
@@ -87,6 +88,26 @@ def test_shingle_join(docs):
     assert shingles.join(docs.limit(0)).count() == 0
 
 
+def test_shingle_join_without_ids_and_with_shared_ids(docs, spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    # Null ids must not join a's group with b's, nor may the two texts of id 5; c's group has no id at all.
+    rows = [(1, a), (None, a + " tail"), (2, b), (None, b + " tail"), (5, a + " end"), (5, b + " end"), (None, c), (None, c + " tail"), (None, c), (9, None), (9, "")]
+    df = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"], r["kept"]) for r in shingles.join(df).collect()), key=str)
+    want = [(1, 1, 2, True), (None, 1, 2, False), (2, 2, 2, True), (None, 2, 2, False), (5, 1, 2, False), (5, 2, 2, False), (9, 9, 0, True), (9, 9, 0, True)]
+    ours = [r for r in got if r[1] is not None]
+    assert ours == sorted(want, key=str)
+    alone = [r for r in got if r[1] is None]
+    # One text of c's group is kept; if it is the one that comes twice, both of its rows are.
+    assert [r[:3] for r in alone] == [(None, None, 2)] * 3 and sum(r[3] for r in alone) in (1, 2)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect()]
+    # Null text is the empty text, so the rows of id 9 are one row twice.
+    assert len(kept) == 4 and {(1, a), (2, b)} <= set(kept) and sorted(i for i, _ in kept if i) == [1, 2, 9]
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
@@ -104,11 +125,36 @@ def test_embeddings(spark):
         agree = sum(got[i]["n_links"] for i in want) / sum(want.values())
         assert 0.97 <= agree <= 1 and all(got[i]["n_links"] <= want[i] for i in want)
         assert got[203]["component_id"] == 5 and got[203]["n_links"] == 6 and got[300]["component_id"] == 300 and got[302]["kept"]
+    floats = {r["vec_id"]: r for r in pivots.near_duplicates(df.withColumn("embedding", F.col("embedding").cast("array<float>"))).collect()}
+    assert all(floats[i]["component_id"] == got[i]["component_id"] for i in got)
     assert pivots.near_duplicates(df.limit(0)).count() == 0
     one = pivots.near_duplicates(df.where("vec_id = 1")).collect()
     assert one[0]["n_links"] == 0 and one[0]["component_id"] == 1
 
 
+def test_embeddings_without_ids_and_of_any_size(spark):
+    rng = np.random.default_rng(4)
+    a, b, c, d = (rng.normal(size=8) for _ in range(4))
+    near = lambda v: v + rng.normal(scale=0.01, size=8)
+    rows = [(1, a), (None, near(a)), (2, near(a)), (3, b * 1e-200), (4, near(b) * 1e200), (None, near(b)), (7, c), (7, near(b)), (None, d), (None, near(d)), (8, near(c) * 5e-324 * 1e20)]
+    df = spark.createDataFrame([(i, [float(x) for x in v], "k") for i, v in rows], "vec_id long, embedding array<double>, key string")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in pivots.near_duplicates(df).collect()), key=str)
+    want = [(1, 2, 1, True), (None, 2, 1, False), (2, 2, 1, False), (3, 3, 3, True), (4, 3, 3, False), (None, 3, 3, False), (7, 1, 7, True), (7, 3, 3, False), (None, 1, None, True), (None, 1, None, True), (8, 1, 7, False)]
+    assert got == sorted(want, key=str)
+
+
+def test_embeddings_recall(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(6000, 32))
+    x = np.concatenate([base, np.repeat(base[:300], 3, axis=0) + rng.normal(scale=0.25, size=(900, 32)) * rng.random((900, 1)), base[0] + rng.normal(scale=0.1, size=(300, 32))])
+    df = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    for block in (2000, 100):
+        got = {r["vec_id"]: r["n_links"] for r in pivots.near_duplicates(df, block=block).collect()}
+        assert all(got[k] <= n for k, n in enumerate(want)) and sum(got.values()) >= 0.999 * want.sum() > 0
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(30)] + [(100, 101), (7, 7)] + [(200, 300 + k) for k in range(40)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}

@@ -70,13 +70,13 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def dealt(rows: DataFrame, key: str, mix: str, block: int) -> DataFrame:
+def dealt(rows: DataFrame, key: str, mix: str, block: int, bounded: bool = False) -> DataFrame:
     """Rows of keys that have two or more, with the pair of blocks (i, j) in which a task compares them.
 
-    A key's rows lie in blocks of about ``block`` by ``mix``; each row goes to a task for every block of its key. ``side``: 0 for block i, 1 for block j. Keys of one block have the task (0, 0) alone.
+    A key's rows lie in blocks of about ``block`` by ``mix``; each row goes to a task for every block of its key. ``side``: 0 for block i, 1 for block j. Keys of one block have the task (0, 0) alone. ``bounded``: the number of keys doesn't grow with the data, so that their sizes are broadcast; else sizes are stored, so that both sides of the join are plain exchanges, which Spark splits where a key is hot.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
-    placed = rows.join(sizes.drop("_n"), key).withColumn("_own", F.pmod(F.xxhash64(F.lit(5), mix), F.col("_blocks")).cast("int"))
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key, F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    placed = rows.join(F.broadcast(sizes) if bounded else stored(sizes, "sizes"), key).withColumn("_own", F.pmod(F.xxhash64(F.lit(5), mix), F.col("_blocks")).cast("int"))
     each = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return each.withColumn("i", F.least("_own", "_other")).withColumn("j", F.greatest("_own", "_other")).withColumn("side", (F.col("_own") > F.col("_other")).cast("int")).drop("_blocks", "_own", "_other")
 
@@ -103,6 +103,37 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple
         yield current, pa.Table.from_batches(held)
 
 
+def lots(batches: Iterator[pa.RecordBatch], keys: int, least: int) -> Iterator[tuple[np.ndarray, pa.Table]]:
+    """Rows sorted by their first ``keys`` columns (numbers), in tables of whole groups and ``least`` rows or more; with the row at which each group begins, and the end."""
+    held: list[pa.Table] = []
+    size = 0
+
+    def cut(last: bool) -> tuple[np.ndarray, pa.Table, pa.Table]:
+        t = pa.concat_tables(held).combine_chunks()
+        new = np.zeros(max(0, t.num_rows - 1), bool)
+        for c in range(keys):
+            a = t.column(c).to_numpy()
+            new |= a[1:] != a[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(new) + 1, [t.num_rows]])
+        end = t.num_rows if last else int(starts[-2])
+        return starts if last else starts[:-1], t.slice(0, end), t.slice(end)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(pa.Table.from_batches([b]))
+        size += b.num_rows
+        if size >= least:
+            starts, whole, rest = cut(False)
+            held, size = [rest], 0
+            if whole.num_rows:
+                yield starts, whole
+    if held:
+        starts, whole, _ = cut(True)
+        if whole.num_rows:
+            yield starts, whole
+
+
 def lean(run: Callable, *forget: Callable[[], None]) -> Callable:
     """``run`` over a partition's batches, after which what it has freed goes back to the system: Python workers live on, and the next stage's tasks need the room. ``forget``: called first, to empty memories that only this stage uses."""
 

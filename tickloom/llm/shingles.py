@@ -4,7 +4,7 @@ A text is the set of its shingles of five words (words: runs of what isn't white
 
 Nodes are tables of (node, set): splitting and counting are joins and counts. A node that stays large (copies with small changes don't come apart) is cut into blocks, whose pairs are compared in tasks of their own: nothing is capped. A pair that shares several nodes counts in the first of them. Sketches tell which sets have a possible partner (an estimate far below the threshold is none); only those are read again, and compared shingle by shingle.
 
-Sets that are equal are one class; its members take its links. Links are counted and reduced to a spanning forest in the task that finds them; pairs are never sent. Empty sets link with nothing. Null texts are empty, null ids take part and come out as null; repeated rows are documents of their own. An empty table gives no rows.
+Sets that are equal are one class; its members take its links. Links are counted and reduced to a spanning forest in the task that finds them; pairs are never sent. Empty sets link with nothing. Components run over classes, each known by its first row's id and a hash of its text, so that neither null ids nor ids shared by several texts join anything. Null texts are empty; null ids take part and come last in order, and a component of null ids alone has null as its class; repeated rows are documents of their own, and are kept or not together. The largest 64-bit number stands for null ids and is no id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -153,7 +153,8 @@ def leaves(classes: DataFrame, runs: int, limit: int, depth: int) -> DataFrame:
     out = None
     for d in range(depth):
         level = stored(level, "nodes")
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        # Stored, so that both sides of the join are plain exchanges, which Spark splits where a node is hot.
+        sizes = stored(level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
         sized = level.join(sizes, "node")
         done = (sized if d == depth - 1 else sized.where(F.col("size") <= limit)).select("node", "h1", "h2")
         out = done if out is None else out.unionByName(done)
@@ -263,8 +264,8 @@ def compared(node: int, side: np.ndarray, same: bool, sets: list[np.ndarray], mu
     return links, local_forest(len(sets), a, b, np.arange(len(sets)))
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, recall: float = RECALL, limit: int = LIMIT, depth: int = DEPTH, block: int = BLOCK) -> DataFrame:
-    """(id, class_id, n_links, copy_of, kept) for every row. class_id: the least id reachable by links, itself included; n_links: other documents of similarity ``least`` or more; copy_of: the least id with an equal set; kept: whether class_id is its own id."""
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = LEAST, recall: float = RECALL, limit: int = LIMIT, depth: int = DEPTH, block: int = BLOCK, versions: bool = False) -> DataFrame:
+    """(id, class_id, n_links, copy_of, kept[, version]) for every row. class_id: the least id reachable by links, itself included; n_links: other documents of similarity ``least`` or more; copy_of: the least id with an equal set; kept: whether the row is its component's first by (id, version), null ids last; version: xxhash64 of the text's bytes, which tells rows of one id apart."""
     spark = df.sparkSession
     bounded_batches(spark)
     described = stored(describe(df, id_col, text_col), "sets")
@@ -316,14 +317,16 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
     found = stored(spread.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(lean(compare), "h1 long, h2 long, links long, r1 long, r2 long"), "found")
     release_shuffles(spark)
     counted = found.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
-    names = classes.select("h1", "h2", F.col("rep.id").alias("name"))
+    # A class is known by its first row (id, version): ids alone may be null or shared by several texts.
+    names = classes.select("h1", "h2", F.col("rep").alias("name"))
     edges = found.where("h1 <> r1 or h2 <> r2").select("h1", "h2", "r1", "r2").distinct().join(names.withColumnRenamed("name", "a"), ["h1", "h2"]).join(names.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("name").alias("b")), ["r1", "r2"]).select("a", "b")
     joined = components(edges)
-    per_class = classes.select("h1", "h2", F.col("rep.id").alias("rep"), "mult").join(counted, ["h1", "h2"], "left").join(joined, F.col("rep") == F.col("node"), "left").select("h1", "h2", "rep", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = described.select("id", "h1", "h2").join(per_class, ["h1", "h2"], "left")
-    number = F.coalesce("id", F.lit(NO_ID))
-    real = lambda c: F.when(c != NO_ID, c)
-    return out.select(F.col("id").alias(id_col), real(F.coalesce("component", number)).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), real(F.coalesce("rep", number)).alias("copy_of"), (F.coalesce("component", number) == number).alias("kept"))
+    per_class = classes.select("h1", "h2", "rep", "mult").join(counted, ["h1", "h2"], "left").join(joined, F.col("rep") == F.col("node"), "left").select("h1", "h2", "rep", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    out = described.select("id", "version", "h1", "h2").join(per_class, ["h1", "h2"], "left")
+    own = F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "version")
+    real = lambda c: F.when(c["id"] != NO_ID, c["id"])
+    component = F.coalesce("component", own)
+    return out.select(F.col("id").alias(id_col), real(component).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), real(F.coalesce("rep", own)).alias("copy_of"), (component == own).alias("kept"), *(["version"] if versions else []))
 
 
 #: The join over ``documents`` as SQL, for ids that are there and unique.
