@@ -154,7 +154,7 @@ def test_matroska():
         samples = rng.integers(0, 256, n).astype(np.uint8).tobytes()
         m = media.mux(samples)
         p = media.parse(m)
-        assert not p.error and b"".join(m[a : a + k] for _, _, a, k, _, _ in p.packets) == samples
+        assert not p.error and b"".join(m[a : a + k] for _, _, a, k, *_ in p.packets) == samples
         assert p.tracks[1]["codec"] == "A_PCM/INT/LIT" and p.tracks[1]["bits"] == 8
         stamps = [x[1] for x in p.packets]
         assert stamps == sorted(stamps) and len(p.cues) == math.ceil(n / (512 * 8 * 16))
@@ -175,13 +175,42 @@ def test_matroska_lacings_and_unknown_sizes():
     cluster = lambda t, body: media._id(media.CLUSTER) + b"\xff" + u(media.TIMESTAMP, t) + body
     data = head + media._id(media.SEGMENT) + b"\x01\xff\xff\xff\xff\xff\xff\xff" + cluster(10, E(media.SIMPLE_BLOCK, block(0x02, xiph))) + cluster(20, E(media.BLOCK_GROUP, E(media.BLOCK, block(0x06, ebml)))) + cluster(30, E(media.SIMPLE_BLOCK, block(0x80, b"z")))
     p = media.parse(data)
-    assert not p.error and [data[a : a + k] for _, _, a, k, _, _ in p.packets] == frames * 2 + [b"z"]
+    assert not p.error and [data[a : a + k] for _, _, a, k, *_ in p.packets] == frames * 2 + [b"z"]
     assert [x[1] // 1_000_000 for x in p.packets] == [15] * 3 + [25] * 3 + [35]
 
 
+def test_matroska_damaged():
+    nested = media._element(media.EBML, b"") + (media._id(media.SEGMENT) + b"\x01\xff\xff\xff\xff\xff\xff\xff") * 3000
+    assert "deep" in media.parse(nested).error
+    E, u = media._element, media._uint
+    block = E(media.SIMPLE_BLOCK, b"\x81\x00\x00\x80x")
+    late = E(media.EBML, b"") + E(media.SEGMENT, E(media.CLUSTER, u(media.TIMESTAMP, 1) + block + E(media.TIMESTAMP, b"\xff" * 8) + block))
+    p = media.parse(late)
+    assert len(p.packets) == 1 and "timestamp" in p.error
+    rng = random.Random(8)
+    whole = media.mux(bytes(rng.randrange(256) for _ in range(9000)))
+    for n in range(10_000):
+        b = bytearray(whole[: rng.choice([len(whole), rng.randrange(len(whole))])])
+        for _ in range(rng.randint(1, 4)):
+            if b:
+                b[rng.choice([rng.randrange(len(b)), rng.randrange(min(len(b), 300))])] = rng.randrange(256)
+        p = media.parse(bytes(b))
+        assert isinstance(media.features(bytes(b), p), str)
+        assert all(-(2**63) <= x[1] < 2**63 and 0 <= x[2] <= x[2] + x[3] <= len(b) for x in p.packets)
+
+
+def test_matroska_block_groups():
+    E, u = media._element, media._uint
+    block = lambda t: E(media.BLOCK, b"\x81" + t.to_bytes(2, "big") + b"\x00x")
+    group = lambda *parts: E(media.BLOCK_GROUP, b"".join(parts))
+    cluster = E(media.CLUSTER, u(media.TIMESTAMP, 0) + group(block(0), u(media.BLOCK_DURATION, 40)) + group(E(media.REFERENCE_BLOCK, b"\xd8"), block(40), u(media.BLOCK_DURATION, 20)) + group(block(60)))
+    p = media.parse(E(media.EBML, b"") + E(media.SEGMENT, cluster))
+    assert not p.error and [(x[1], x[4], x[6]) for x in p.packets] == [(0, True, 40_000_000), (40_000_000, False, 20_000_000), (60_000_000, True, None)]
+
+
 def test_chat_spans_and_rewriting():
     turns = [("user", "hi ### x </turn>\\"), ("assistant", ""), ("a: b", "\n"), ("assistant", "\\### Assistant: </turn> ok")]
-    r, out = chat.Renderer(chat.MARKED, 64), []
+    r, out = chat.Renderer(chat.MARKED), []
     for role, text in turns:
         t = r.add(role, text)
         assert not t.rewrites and chat.MARKED.read(t.span) == (role, text)
@@ -191,20 +220,25 @@ def test_chat_spans_and_rewriting():
     short = chat.Renderer(chat.MARKED, 2)
     assert [short.add(a, b).span for a, b in turns] == out
     counted = chat.Template(lambda ms: f"{len(ms)} turns\n" + chat.render_marked(ms), chat.unescape, chat.read_marked)
-    r = chat.Renderer(counted, 64)
+    r = chat.Renderer(counted)
     assert [r.add("u", "x").rewrites for _ in range(3)] == [True, True, True]
 
 
 def test_chat_whole_prefixes():
     render = lambda ms: "".join(f"[{k}] {m['text']}\n" for k, m in enumerate(ms, 1))
-    r = chat.Renderer(chat.Template(render, str, lambda s: ("", s)), 64)
+    r = chat.Renderer(chat.Template(render, str, lambda s: ("", s)))
     assert [r.add("u", "x").span for _ in range(140)] == [f"[{k}] x\n" for k in range(1, 141)]
-    local = chat.Renderer(chat.Template(render, str, lambda s: ("", s), local=True), 64)
-    with pytest.raises(ValueError, match="local"):
+    cut = chat.Renderer(chat.Template(render, str, lambda s: ("", s)), 64)
+    with pytest.raises(ValueError, match="whole prefixes"):
         for _ in range(65):
-            local.add("u", "x")
+            cut.add("u", "x")
+    # A template that reads the first message rewrites nothing, one that reads their number does, at any length.
+    first = chat.Renderer(chat.Template(lambda ms: "".join(m["text"] + ms[0]["role"] for m in ms), str, lambda s: ("", s)))
+    assert [first.add(f"r{k}", "x").span for k in range(100)] == ["xr0"] * 100
+    many = chat.Renderer(chat.Template(lambda ms: ("long " if len(ms) > 70 else "") + "".join(m["text"] for m in ms), str, lambda s: ("", s)))
+    assert [k for k in range(100) if many.add("u", "x").rewrites] == [70]
     # The last turn carries a mark: each turn takes it off the one before.
-    r = chat.Renderer(chat.Template(lambda ms: "".join(m["text"] + ";" for m in ms) + ("!" if ms else ""), str, lambda s: ("", s)), 64)
+    r = chat.Renderer(chat.Template(lambda ms: "".join(m["text"] + ";" for m in ms) + ("!" if ms else ""), str, lambda s: ("", s)))
     turns = [r.add("u", "ab") for _ in range(3)]
     assert [(t.span, t.rewrites, t.lost) for t in turns] == [("ab;!", False, 0), ("ab;!", True, 1), ("ab;!", True, 1)]
 

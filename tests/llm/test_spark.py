@@ -222,7 +222,10 @@ def test_chat(spark):
 def test_chat_places_of_rewritten_turns(spark):
     marked = chat.Template(lambda ms: "".join(m["text"] + ";" for m in ms) + ("!" if ms else ""), str, lambda s: ("", s))
     df = spark.createDataFrame([(1, k, "u", "ab") for k in range(3)], "conv_id long, turn long, role string, text string")
-    assert [(r["begin"], r["end"]) for r in chat.format_turns(df, marked).collect()] == [(0, 4), (3, 7), (6, 10)]
+    turns = chat.format_turns(df, marked)
+    assert [(r["begin"], r["end"]) for r in turns.collect()] == [(0, 4), (3, 7), (6, 10)]
+    d = chat.conversation_digest(turns, marked).collect()[0]
+    assert (d["n_turns"], d["formatted_chars"], d["rewrites_history"], d["turns_sha256"], d["loss_chars"], d["loss_sha256"]) == (3, 10, True, None, None, None)
 
 
 def test_licenses(spark):

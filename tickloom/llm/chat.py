@@ -2,7 +2,9 @@
 
 A template is a function from a list of messages to a text; nothing else is known about it. Successive turn prefixes are rendered, and consecutive outputs are compared: where the longer one begins with the shorter one, the rest is the new turn's span; where it doesn't, the template rewrites history, which is reported. A turn's text inside its span is found by rendering the turn again with two probe texts: what both share before and after the probe is the template's own.
 
-Rows are dealt by conversation and streamed in turn order. Prefixes are whole, so a task holds a conversation's turns, and its time grows with their square. Only for a template that declares itself ``local`` (a turn's rendering depends neither on the turns before nor on their number) a prefix begins at most ``window`` turns back, so that neither memory nor time depends on a conversation's length. Each time its prefix is cut, both renderings are compared, and a template that isn't local after all is an error.
+Rows are dealt by conversation and streamed in turn order. Prefixes are whole at every length, so a task holds a conversation's turns, and its time grows with their square. Whoever has endless conversations and a template whose turns don't depend on those before may set ``window``: a prefix then begins at most that many turns back. Each time it is cut, both renderings are compared, and a template that depends on earlier turns is an error.
+
+A conversation whose template rewrites history has no spans that follow one another; its digest holds its length and the flag, and null for what would be read back from spans.
 
 Null texts and roles are empty; rows without a conversation id form one conversation; turns that are equal in number are ordered by role and text, and repeated rows are turns of their own. An empty table gives no rows.
 """
@@ -28,12 +30,11 @@ PROBES = ("\ue000", "\ue001")
 
 @dataclass(frozen=True)
 class Template:
-    """``render``: messages to text. ``unescape``: a rendered text to what it stands for. ``read``: a turn's span to (role, text). ``local``: a turn's rendering depends neither on the turns before nor on their number."""
+    """``render``: messages to text. ``unescape``: a rendered text to what it stands for. ``read``: a turn's span to (role, text)."""
 
     render: Callable[[Messages], str]
     unescape: Callable[[str], str]
     read: Callable[[str], tuple[str, str]]
-    local: bool = False
 
 
 def escape(text: str, control: str = "\\#<") -> str:
@@ -64,7 +65,7 @@ def read_marked(span: str) -> tuple[str, str]:
     return unescape(body[:at]), unescape(body[at + 2 :])
 
 
-MARKED = Template(render_marked, unescape, read_marked, local=True)
+MARKED = Template(render_marked, unescape, read_marked)
 
 
 @dataclass
@@ -94,15 +95,15 @@ def next_turn(before: Messages, message: dict[str, str], rendered: str, template
 
 
 class Renderer:
-    """Turns of one conversation, one after the other; if the template is local, with ``window`` turns in memory."""
+    """Turns of one conversation, one after the other; with ``window``, that many turns in memory at most."""
 
-    def __init__(self, template: Template, window: int):
+    def __init__(self, template: Template, window: int | None = None):
         self.template, self.window = template, window
         self.before: Messages = []
         self.rendered = template.render([])
 
     def add(self, role: str, text: str) -> Turn:
-        if self.template.local and len(self.before) >= self.window:
+        if self.window and len(self.before) >= self.window:
             self.shift()
         message = {"role": role, "text": text}
         turn, self.rendered = next_turn(self.before, message, self.rendered, self.template)
@@ -114,14 +115,14 @@ class Renderer:
         half = max(1, self.window // 2)
         empty, off, kept = (self.template.render(m) for m in ([], self.before[:half], self.before[half:]))
         if not (self.rendered.startswith(off) and kept.startswith(empty) and self.rendered[len(off) :] == kept[len(empty) :]):
-            raise ValueError("the template declares itself local, but its turns depend on those before")
+            raise ValueError("the template's turns depend on those before: it needs whole prefixes")
         self.before, self.rendered = self.before[half:], kept
 
 
 TURNS = "n long, role string, begin long, end long, text_begin long, text_end long, span string, rewrites boolean"
 
 
-def format_turns(df: DataFrame, template: Template = MARKED, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", window: int = 64, partitions: int | None = None) -> DataFrame:
+def format_turns(df: DataFrame, template: Template = MARKED, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", window: int | None = None, partitions: int | None = None) -> DataFrame:
     """A row per turn, in order inside its partition: (conversation, n, role, begin, end, text_begin, text_end, span, rewrites). Positions are characters of the formatted conversation; -1 where a text's place can't be told."""
     spark = df.sparkSession
     bounded_batches(spark, 1000)
@@ -159,7 +160,8 @@ def conversation_digest(turns: DataFrame, template: Template = MARKED, conv_col:
         state: list | None = None
 
         def done(s: list) -> tuple:
-            return (s[1], s[2].hexdigest(), s[3], s[4].hexdigest(), s[5], s[6])
+            read = (None, None, None) if s[6] else (s[2].hexdigest(), s[3], s[4].hexdigest())
+            return (s[1], *read, s[5], s[6])
 
         for b in batches:
             ids, rows = [], []
@@ -169,15 +171,17 @@ def conversation_digest(turns: DataFrame, template: Template = MARKED, conv_col:
                         ids.append(state[0])
                         rows.append(done(state))
                     state = [c, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, False]
-                role, text = template.read(span)
                 state[1] += 1
+                state[5] = end
+                state[6] |= rewrites
+                if state[6]:
+                    continue
+                role, text = template.read(span)
                 state[2].update(f"{role}\n{text}\n".encode("utf-8", "replace"))
                 if role == loss_role:
                     learned = template.unescape(span[first - begin : last - begin]) if first >= 0 else text
                     state[3] += len(learned)
                     state[4].update(learned.encode("utf-8", "replace"))
-                state[5] = end
-                state[6] |= rewrites
             yield batch(ids, rows)
         if state is not None:
             yield batch([state[0]], [done(state)])

@@ -29,6 +29,11 @@ def utf8(column: str) -> F.Column:
     return F.coalesce(F.col(column).cast("string").cast("binary"), F.lit(b""))
 
 
+def apart(name: str, taken: list[str]) -> str:
+    """The name under which a column of the input comes out beside an operator's own columns ``taken``."""
+    return f"kept_{name}" if name.lower() in (t.lower() for t in taken) else name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset (as in tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)

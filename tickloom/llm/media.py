@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, utf8
+from .common import apart, bounded_batches, utf8
 
 # Element ids of the format.
 EBML = 0x1A45DFA3
@@ -27,7 +27,7 @@ DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x4282, 0x4287, 0x4285
 SEGMENT, INFO, TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, DEFAULT_DURATION = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0x23E383
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B
+CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 
@@ -98,11 +98,11 @@ def mux(samples: bytes, rate: int = SAMPLE_RATE, frame: int = FRAME) -> bytes:
 
 @dataclass
 class Parsed:
-    """What a file holds. Packets: (track, timestamp_ns, first byte, bytes, keyframe, lacing)."""
+    """What a file holds. Packets: (track, timestamp_ns, first byte, bytes, keyframe, lacing, duration_ns or None)."""
 
     doc_type: str = ""
     tracks: dict[int, dict] = field(default_factory=dict)
-    packets: list[tuple[int, int, int, int, bool, int]] = field(default_factory=list)
+    packets: list[tuple[int, int, int, int, bool, int, int | None]] = field(default_factory=list)
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     scale: int = 1_000_000
     duration: float = 0.0
@@ -124,6 +124,8 @@ def _vint(b: bytes, at: int, keep: bool) -> tuple[int, int]:
 
 def _frames(b: bytes, at: int, end: int, lacing: int) -> list[tuple[int, int]]:
     """(first byte, bytes) of the frames in a block's data."""
+    if at > end:
+        raise ValueError(f"a block without its header before byte {end}")
     if lacing == NO_LACING:
         return [(at, end - at)]
     n, at = b[at] + 1, at + 1
@@ -164,12 +166,27 @@ def parse(b: bytes) -> Parsed:
         if len(b) < 4 or b[:4] != _id(EBML):
             raise ValueError("no EBML header")
         _walk(b, 0, len(b), 0, out, {})
-    except (ValueError, IndexError, struct.error) as e:
+    except (ValueError, IndexError, OverflowError, struct.error) as e:
         out.error = str(e) or type(e).__name__
     return out
 
 
-def _walk(b: bytes, at: int, end: int, parent: int, out: Parsed, state: dict) -> int:
+#: Elements inside one another beyond which a file is broken; the format's own go 6 deep.
+DEEPEST = 32
+
+
+def _grouped(packets: list, start: int, group: dict, scale: int) -> None:
+    """What a block group says about its packets from ``start`` on: a reference to another block makes them no keyframes; its duration is shared by its frames."""
+    own = packets[start:]
+    for k, p in enumerate(own):
+        duration = group["duration"] * scale // len(own) if group["duration"] is not None else p[6]
+        packets[start + k] = (*p[:4], not group["refers"], p[5], duration if duration is None or duration < 1 << 63 else None)
+
+
+def _walk(b: bytes, at: int, end: int, parent: int, out: Parsed, state: dict, depth: int = 0) -> int:
+    if depth > DEEPEST:
+        raise ValueError(f"elements nested too deep at byte {at}")
+    depth += 1
     while at < end:
         began = at
         eid, at = _vint(b, at, True)
@@ -182,32 +199,41 @@ def _walk(b: bytes, at: int, end: int, parent: int, out: Parsed, state: dict) ->
         body = b[at:stop] if stop - at <= 64 else b""
         if eid == SEGMENT:
             state["segment"] = at
-            at = _walk(b, at, stop, SEGMENT, out, state)
+            at = _walk(b, at, stop, SEGMENT, out, state, depth)
             continue
         if eid == EBML:
-            _walk(b, at, stop, EBML, out, state)
+            _walk(b, at, stop, EBML, out, state, depth)
         elif eid == CLUSTER:
             inner = {"segment": state.get("segment", 0), "cluster": 0} | ({"open": CLUSTER} if size < 0 else {})
-            at = _walk(b, at, stop, CLUSTER, out, inner)
+            at = _walk(b, at, stop, CLUSTER, out, inner, depth)
             continue
         elif eid == TRACK_ENTRY:
             track: dict = {"type": 0, "codec": "", "rate": 0.0, "channels": 1, "bits": 0, "default_ns": 0}
-            _walk(b, at, stop, eid, out, {"track": track})
+            _walk(b, at, stop, eid, out, {"track": track}, depth)
             out.tracks[track.pop("number", 0)] = track
         elif eid == CUE_POINT:
             cue: dict = {}
-            _walk(b, at, stop, eid, out, {"cue": cue})
+            _walk(b, at, stop, eid, out, {"cue": cue}, depth)
             out.cues.append((cue.get("time", 0), cue.get("track", 0), cue.get("cluster", 0)))
+        elif eid == BLOCK_GROUP:
+            group, start = {"refers": False, "duration": None}, len(out.packets)
+            try:
+                _walk(b, at, stop, eid, out, state | {"group": group}, depth)
+            finally:
+                _grouped(out.packets, start, group, out.scale)
         elif eid in MASTERS:
-            _walk(b, at, stop, eid, out, state)
+            _walk(b, at, stop, eid, out, state, depth)
         elif eid in (SIMPLE_BLOCK, BLOCK):
             track, p = _vint(b, at, False)
             rel, flags = struct.unpack_from(">hB", b, p)
             lacing = flags >> 1 & 3
             step = out.tracks.get(track, {}).get("default_ns", 0)
             stamp = (state.get("cluster", 0) + rel) * out.scale
-            for k, (first, n) in enumerate(_frames(b, p + 3, stop, lacing)):
-                out.packets.append((track, stamp + k * step, first, n, bool(flags & 0x80) or eid == BLOCK, lacing))
+            frames = _frames(b, p + 3, stop, lacing)
+            if not -(1 << 63) <= stamp <= stamp + len(frames) * step < 1 << 63:
+                raise ValueError(f"the timestamp of the block at byte {began} is beyond 64 bits")
+            for k, (first, n) in enumerate(frames):
+                out.packets.append((track, stamp + k * step, first, n, bool(flags & 0x80) or eid == BLOCK, lacing, step or None))
         elif eid == TIMESTAMP:
             state["cluster"] = int.from_bytes(body, "big")
         elif eid == TIMESTAMP_SCALE:
@@ -216,6 +242,10 @@ def _walk(b: bytes, at: int, end: int, parent: int, out: Parsed, state: dict) ->
             out.duration = struct.unpack(">d" if len(body) == 8 else ">f", body)[0]
         elif eid == DOC_TYPE:
             out.doc_type = body.decode("ascii", "replace")
+        elif eid == REFERENCE_BLOCK and "group" in state:
+            state["group"]["refers"] = True
+        elif eid == BLOCK_DURATION and "group" in state:
+            state["group"]["duration"] = int.from_bytes(body, "big")
         elif "track" in state:
             track = state["track"]
             if eid == TRACK_NUMBER:
@@ -245,7 +275,7 @@ def features(media: bytes, found: Parsed) -> str:
     if not found.tracks:
         return f"none;error={found.error}"
     t = found.tracks[min(found.tracks)]
-    x = np.concatenate([np.frombuffer(media, np.uint8, n, at) for _, _, at, n, _, _ in found.packets]) if found.packets else np.zeros(0, np.uint8)
+    x = np.concatenate([np.frombuffer(media, np.uint8, n, at) for _, _, at, n, *_ in found.packets]) if found.packets else np.zeros(0, np.uint8)
     mean, spread = (float(x.mean()), float(x.std())) if len(x) else (0.0, 0.0)
     laced = sum(1 for p in found.packets if p[5])
     last = max((p[1] for p in found.packets), default=0) // 1_000_000
@@ -257,7 +287,7 @@ def payload_of(text: bytes) -> bytes:
     return text + b"\0" * (-len(text) % 64 or (64 if not text else 0))
 
 
-PACKETS = "track long, timestamp_ns long, offset long, size long, keyframe boolean, lacing int"
+PACKETS = "track long, timestamp_ns long, offset long, size long, keyframe boolean, lacing int, duration_ns long"
 
 
 def to_media(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -274,8 +304,9 @@ def to_media(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def packet_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """A row per packet: id, track, timestamp_ns, offset, size, keyframe, lacing, in file order. Files without packets give no rows."""
+    """A row per packet: id, track, timestamp_ns, offset, size, keyframe, lacing, duration_ns (null if the file doesn't tell), in file order. Files without packets give no rows. An id column of one of these names comes out as kept_<name>."""
     bounded_batches(df.sparkSession)
+    names = [apart(id_col, [p.split()[0] for p in PACKETS.split(", ")]), *(p.split()[0] for p in PACKETS.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -284,16 +315,16 @@ def packet_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                 found = parse(m).packets
                 ids += [i] * len(found)
                 rows += found
-            cols = list(zip(*rows)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64()))] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=[id_col, "track", "timestamp_ns", "offset", "size", "keyframe", "lacing"])
+            cols = list(zip(*rows)) if rows else [[]] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64()))] + [pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), F.coalesce(F.col(media_col), F.lit(b"")).alias("m")).mapInArrow(run, f"{id_col} {kind}, {PACKETS}")
+    return df.select(F.col(id_col), F.coalesce(F.col(media_col), F.lit(b"")).alias("m")).mapInArrow(run, f"`{names[0]}` {kind}, {PACKETS}")
 
 
 def media_digest(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", n_col: str = "n_bytes") -> DataFrame:
-    """Per media row: what its packets hold, digested. The payload is read back through the packet table's byte ranges."""
+    """Per media row: what its packets hold, digested. The payload is read back through the byte ranges that ``parse`` gives, which are those of ``packet_table``."""
     bounded_batches(df.sparkSession)
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
@@ -302,7 +333,7 @@ def media_digest(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
             rows = []
             for m in b.column(2).to_pylist():
                 found = parse(m)
-                payload = b"".join(m[at : at + n] for _, _, at, n, _, _ in found.packets)
+                payload = b"".join(m[at : at + n] for _, _, at, n, *_ in found.packets)
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), features(m, found)))
             cols = list(zip(*rows)) if rows else [[]] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, utf8
+from .common import apart, bounded_batches, lean, utf8
 
 #: Characters of text whose words are encoded side by side.
 LOT = 4_000_000
@@ -363,17 +363,18 @@ def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "t
 
 
 def decode(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """(id, text) for every row of ids; null ids give the empty text."""
+    """(id, text) for every row of ids; null ids give the empty text. An id column named text comes out as kept_text."""
     bounded_batches(df.sparkSession)
+    name = apart(id_col, ["text"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = merge_coder(model)
         for b in batches:
             texts = [coder.decode(x).decode("utf-8", "replace") if x else "" for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[name, "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("i"), F.col(ids_col).alias("x")).mapInArrow(run, f"`{id_col}` {kind}, text string")
+    return df.select(F.col(id_col).alias("i"), F.col(ids_col).alias("x")).mapInArrow(run, f"`{name}` {kind}, text string")
 
 
 def round_trip(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, dropout: float = 0.1) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, lean, utf8
+from .common import apart, bounded_batches, lean, utf8
 
 BUCKETS = 1 << 16
 NGRAMS = (3, 4, 5)
@@ -159,11 +159,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, held_out, score, predicted[, kept columns]) for every row."""
+    """(id, held_out, score, predicted[, kept columns]) for every row. A kept column of one of these names comes out as kept_<name>."""
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # one number per bucket
-    names = [id_col, "held_out", "score", "predicted", *keep]
+    own = [id_col, "held_out", "score", "predicted"]
+    names = [*own, *(apart(c, own) for c in keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -172,5 +173,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), *b.columns[3:]], names=names)
 
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, *keep)}
-    schema = ", ".join([f"{id_col} {kinds[id_col]}, held_out boolean, score double, predicted int", *(f"`{c}` {kinds[c]}" for c in keep)])
+    schema = ", ".join([f"{id_col} {kinds[id_col]}, held_out boolean, score double, predicted int", *(f"`{apart(c, own)}` {kinds[c]}" for c in keep)])
     return docs.select(F.col(id_col), held_out(id_col).alias("h"), utf8(text_col).alias("b"), *(F.col(c) for c in keep)).mapInArrow(lean(run), schema)
