@@ -41,13 +41,32 @@ def test_merge_equals_sorting():
     shards[1] = np.concatenate([shards[0][:120], shards[1]])
     symbols = [suffixes.gram_hashes(np.concatenate([x, np.zeros(suffixes.BLOCK - 1, np.uint8)]), suffixes.BLOCK) for x in shards]
     built = [suffixes.Shard(s) for s in symbols]
-    z, _ = suffixes.merge(built)
+    z, common = suffixes.merge(built)
     taken, got = [0] * 3, []
     for j in z.tolist():
         got.append((j, int(built[j].order[taken[j]])))
         taken[j] += 1
     key = lambda j, p: [int(x) for x in symbols[j][p :: suffixes.BLOCK][:5]]
-    assert [key(j, p) for j, p in got] == sorted(key(j, p) for j in range(3) for p in range(len(symbols[j])))
+    keys = [key(j, p) for j, p in got]
+    assert keys == sorted(key(j, p) for j in range(3) for p in range(len(symbols[j])))
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    assert all(common[k] == shared(keys[k - 1], keys[k]) for k in range(1, len(keys)) if len(keys[k - 1]) == len(keys[k]) == 5)
+    assert max(common) == 5 and passages.REGION_BYTES // 4 >= 4 * passages.SHARD  # several shards in a bucket
+
+
+def test_windows_sent_on():
+    random.seed(9)
+    base = bytes(random.choices(b"abc", k=400))
+    texts = [base[i : i + random.randint(90, 160)] for i in (random.randrange(240) for _ in range(60))]
+    doc = np.array([random.randrange(20) for _ in texts])
+    start = np.arange(len(texts)) * 1000
+    own, inside, key, sent = passages.distinct_windows(doc, np.zeros(len(texts), np.int64), start, texts)
+    rows = sorted((doc[o], start[o] + i, texts[o][i : i + 100], k, s) for o, i, k, s in zip(own.tolist(), inside.tolist(), key.tolist(), sent.tolist()))
+    assert len(rows) == sum(max(0, len(t) - 99) for t in texts)
+    seen = {}
+    for _, _, w, k, s in rows:
+        assert s == (w not in seen) and seen.setdefault(w, k) == k
+    assert all(len(x) == 0 for x in passages.distinct_windows(doc[:0], doc[:0], doc[:0], []))
 
 
 def test_regions_hold_every_window_once():

@@ -4,10 +4,10 @@ Order: (document id, version, first byte), where the version is a hash that tell
 
 1. Every window of ``WIDTH`` bytes has an anchor: the least hash of the ``GRAM``-byte strings in it, the leftmost of equals. Equal windows have equal anchors at equal places, so windows that share an anchor can be compared apart from all others. A run of windows with one anchor is a region. Scanning a document needs only itself.
 2. Regions meet by anchor. A region that equals an earlier one repeats wholly (hashes of 64 bits under one of 32; equal ones inside a task are found there and not sent on). An anchor with one distinct region is done. Anchors with several send those regions' bytes to step 3; all else is unique.
-3. Regions that meet by anchor are cut into shards; their block-wise Burrows-Wheeler transforms are merged by interleave refinement (suffixes.py), whose intervals are the repeated windows.
+3. Regions that meet by anchor fill buckets of about 200 KB, each of several shards of SHARD bytes; the shards' block-wise Burrows-Wheeler transforms are merged by interleave refinement (suffixes.py), whose common prefixes give the intervals of repeated windows.
 4. Spans meet their document and are united and removed.
 
-Rows travel as packed arrays, a row per task and bucket; buckets grow in number with the input. Texts are sent twice, to the spans they need, and tasks stream them. Anchors with very many distinct regions are dealt by the hash of each window instead of the anchor's, so that no passage, however frequent, needs one task's memory in step 3.
+Rows travel as packed arrays, a row per task and bucket; buckets grow in number with the input. Texts are sent twice, to the spans they need, and tasks stream them. Anchors with very many distinct regions are dealt by the hash of each window instead of the anchor's, and of the windows that are equal in a lot only the first is sent on: a passage in very many documents comes to step 3 once a lot, not once a document. In step 2 all distinct regions of an anchor, 36 bytes for each task that has them, still meet in one task.
 
 Null texts are empty. Null ids come last in order, as one id. Rows equal in id and text count as one document; each gets its result. An empty table gives no rows.
 """
@@ -32,6 +32,7 @@ SLICE = 600_000  # bytes of text that are scanned at once
 ENTRIES = 400_000  # regions that a task gathers before it sends them on
 #: Bytes of text for each bucket of anchors, and of regions for each bucket of transforms.
 ANCHOR_BYTES, REGION_BYTES = 8_000_000, 800_000
+SHARD = 1 << 15
 #: Distinct regions of an anchor above which its windows are dealt one by one.
 FREQUENT = 20_000
 NO_ID = np.int64(2**63 - 1)
@@ -259,13 +260,40 @@ class Lookup:
         return self.rows[a:b]
 
 
-def _cut(region_buckets: int):
+def distinct_windows(doc: np.ndarray, version: np.ndarray, start: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of regions: (region, offset, hash, whether it is sent on), in the order of their hashes. A window that equals an earlier one of the same lot, byte by byte, repeats, and isn't sent on."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    base = np.cumsum(lengths) - lengths
+    times = np.maximum(lengths - WIDTH + 1, 0)
+    own = np.repeat(np.arange(len(texts)), times)
+    inside = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    at = base[own] + inside
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    p, q, table = _powers(1 << max(12, int(len(data)).bit_length()))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(table[data] * p[: len(data)])])
+        key = (sums[at + WIDTH] - sums[at]) * q[at]
+    order = np.lexsort((start[own] + inside, version[own], doc[own], key))
+    own, inside, at, key = own[order], inside[order], at[order], key[order]
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    model = at[np.flatnonzero(first)][np.cumsum(first) - 1] if len(at) else at
+    windows = np.lib.stride_tricks.sliding_window_view(data, WIDTH) if len(data) >= WIDTH else np.zeros((0, WIDTH), np.uint8)
+    sent = first.copy()
+    for k in range(0, len(at), 50_000):
+        some = slice(k, k + 50_000)
+        sent[some] |= (windows[at[some]] != windows[model[some]]).any(1)
+    return own, inside, key, sent
+
+
+def _cut(region_buckets: int, doc_buckets: int):
     """Step 3a: the asked regions' bytes, by anchor, or by window where the anchor is frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, lookup = [], None
         lots: dict[int, list] = {}
-        size = 0
+        frequent: list[tuple[int, int, int, bytes]] = []
+        size, many = 0, 0
 
         def flush() -> pa.RecordBatch:
             rows = []
@@ -276,6 +304,25 @@ def _cut(region_buckets: int):
                 rows.append((ASKED, bucket, len(regions), head.tobytes() + b"".join(r[4] for r in regions)))
             return _batch(rows)
 
+        def apart() -> pa.RecordBatch:
+            """Windows of frequent anchors: the distinct ones by their hash, the others' spans."""
+            doc, version, start = (np.array([r[k] for r in frequent], np.int64) for k in range(3))
+            texts = [r[3] for r in frequent]
+            own, inside, key, sent = distinct_windows(doc, version, start, texts)
+            again = own[~sent]
+            begin = start[again] + inside[~sent]
+            spans = united(doc[again], version[again], begin, begin + WIDTH)
+            rows = list(_sent(LOCAL, _bucket(spans["doc"], spans["version"], doc_buckets) % region_buckets, spans))
+            by: dict[int, list[int]] = {}
+            for k, bucket in zip(np.flatnonzero(sent).tolist(), ((key[sent] >> np.uint64(32)) % np.uint64(region_buckets)).tolist()):
+                by.setdefault(bucket, []).append(k)
+            for bucket, ks in by.items():
+                head = np.zeros(len(ks), SPAN)
+                head["doc"], head["version"], head["start"] = doc[own[ks]], version[own[ks]], start[own[ks]] + inside[ks]
+                head["end"] = head["start"] + WIDTH
+                rows.append((ASKED, bucket, len(ks), head.tobytes() + b"".join(texts[own[k]][inside[k] : inside[k] + WIDTH] for k in ks)))
+            return _batch(rows)
+
         for b in batches:
             kinds = b.column(0).to_pylist()
             for k, kind in enumerate(kinds):
@@ -293,15 +340,22 @@ def _cut(region_buckets: int):
                 lookup.at.pop((doc, version))  # a repeated row has been seen
                 text = b.column(2)[k].as_py()
                 for start, end, key, each in zip(found["start"].tolist(), found["end"].tolist(), found["key"].tolist(), found["each"].tolist()):
-                    pieces = [(start, end, key)] if not each else [(s, s + WIDTH, int.from_bytes(hashlib.blake2b(text[s : s + WIDTH], digest_size=4).digest(), "little")) for s in range(start, end - WIDTH + 1)]
-                    for s, e, by in pieces:
-                        lots.setdefault(by % region_buckets, []).append((doc, version, s, e, text[s:e]))
-                        size += e - s
+                    if each:
+                        frequent.append((doc, version, start, text[start:end]))
+                        many += end - start
+                        if many >= SLICE:
+                            yield apart()
+                            frequent, many = [], 0
+                    else:
+                        lots.setdefault(key % region_buckets, []).append((doc, version, start, end, text[start:end]))
+                        size += end - start
                 if size >= 8_000_000:
                     yield flush()
                     lots, size = {}, 0
         if lots:
             yield flush()
+        if frequent:
+            yield apart()
 
     return run
 
@@ -315,13 +369,17 @@ def _merge(doc_buckets: int):
         def solve() -> pa.RecordBatch:
             head = np.concatenate(heads)
             place = np.stack([head["doc"], head["version"], head["start"].astype(np.int64)], 1)
-            own, at = suffixes.repeated(texts, place)
+            own, at = suffixes.repeated(texts, place, SHARD)
             start = head["start"][own].astype(np.int64) + at
             spans = united(head["doc"][own], head["version"][own], start, start + WIDTH)
             return _batch(list(_sent(WHOLE, _bucket(spans["doc"], spans["version"], doc_buckets), spans)))
 
         for b in batches:
-            for bucket, n, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+            for kind, bucket, n, data in zip(*(c.to_pylist() for c in b.columns)):
+                if kind == LOCAL:
+                    spans = np.frombuffer(data, SPAN)
+                    yield _batch(list(_sent(WHOLE, _bucket(spans["doc"], spans["version"], doc_buckets), spans)))
+                    continue
                 if bucket != current and heads:
                     yield solve()
                     heads, texts = [], []
@@ -368,7 +426,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = found.where(F.col("kind") == ASKED)
     n = asked.agg(F.sum("n")).first()[0] or 0
     region_tasks = max(8, int(n * 140 // REGION_BYTES) + 1)
-    cut = _with_texts(bucketed.select("doc", "version", "b", "bucket"), asked, doc_buckets, []).mapInArrow(lean(_cut(region_tasks * 4)), SENT)
+    cut = _with_texts(bucketed.select("doc", "version", "b", "bucket"), asked, doc_buckets, []).mapInArrow(lean(_cut(region_tasks * 4, doc_buckets), forget_powers), SENT)
     windows = stored(cut.repartition(region_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_merge(doc_buckets)), SENT), "passages")
     release_shuffles(spark)
 

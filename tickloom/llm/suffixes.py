@@ -1,6 +1,6 @@
 """Repeated passages in a set of byte strings: block-wise Burrows-Wheeler transforms of shards, merged by interleave refinement.
 
-The alphabet is the blocks of ``BLOCK`` bytes, taken at every position and ordered by a hash; a window of ``WIDTH`` bytes is ``WIDTH / BLOCK`` symbols. A shard's transform lists, in the order of its sorted suffixes, the symbol before each suffix. Merging keeps only an interleave: which shard the next suffix comes from. Each pass reads the interleave in order, takes the next symbol of the shard it names, and deals the shard's number into that symbol's bucket; after k passes the interleave is right to k symbols, and neighbours whose symbols and former intervals agree share k symbols. After ``WIDTH / BLOCK`` passes the intervals are the repeated windows. No suffix of a shard is sorted again.
+The alphabet is the blocks of ``BLOCK`` bytes, taken at every position and ordered by a hash; a window of ``WIDTH`` bytes is ``WIDTH / BLOCK`` symbols. A shard's transform lists, in the order of its sorted suffixes, the symbol before each suffix. Merging keeps only an interleave: which shard the next suffix comes from. Each pass reads the interleave in order, takes the next symbol of the shard it names, and deals the shard's number into that symbol's bucket; after k passes the interleave is right to k symbols, and neighbours whose symbols and former intervals agree share k symbols. A border between intervals stays where it is in all further passes, so the pass in which it appears tells the common prefix of the suffixes at it. After ``WIDTH / BLOCK`` passes, runs of common prefixes of that many symbols are the repeated windows. No suffix of a shard is sorted again.
 """
 
 from __future__ import annotations
@@ -71,16 +71,16 @@ class Shard:
 
 
 def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
-    """(interleave, interval): in merged order, each suffix's shard and the number of its interval of equal windows."""
+    """(interleave, common): in merged order, each suffix's shard and how many symbols it shares with the suffix before it, ``WIDTH / BLOCK`` at most."""
     sizes = np.array([s.n for s in shards])
     kind = np.uint8 if len(shards) < 256 else np.uint16
     z = np.repeat(np.arange(len(shards), dtype=kind), sizes)
-    interval = np.zeros(len(z), np.int64)
+    interval, common = np.zeros(len(z), np.int64), np.full(len(z), WIDTH // BLOCK, np.int8)
     every = np.concatenate([s.before for s in shards])
     has = np.concatenate([s.has for s in shards])
     tail_symbols = np.concatenate([s.last for s in shards])
     tail_z = np.repeat(np.arange(len(shards), dtype=kind), [len(s.last) for s in shards])
-    for _ in range(WIDTH // BLOCK):
+    for turn in range(WIDTH // BLOCK):
         taken = np.argsort(z, kind="stable")  # where each shard's suffixes lie, in its own order
         symbols, there = np.empty(len(z), np.uint32), np.empty(len(z), bool)
         symbols[taken], there[taken] = every, has
@@ -94,10 +94,11 @@ def merge(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
         new[:1] = True
         new[1:] = (s[1:] != s[:-1]) | (was[1:] != was[:-1]) | (was[1:] < 0)
         interval = np.cumsum(new)
-    return z, interval
+        common[new & (common > turn)] = turn
+    return z, common
 
 
-def repeated(regions: list[bytes], place: np.ndarray, shard_bytes: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+def repeated(regions: list[bytes], place: np.ndarray, shard_bytes: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
     """Windows of ``WIDTH`` bytes that also begin at a smaller place. ``regions``: byte strings; ``place``: sort keys, (region, 3) of which (document, 0, first byte), unique in total. Returns (region, offset) of each."""
     if not regions:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -112,7 +113,8 @@ def repeated(regions: list[bytes], place: np.ndarray, shard_bytes: int = 1 << 19
         shards.append(Shard(gram_hashes(padded, BLOCK)))
         datas.append(data)
         base.append(len(data))
-    z, interval = merge(shards)
+    z, common = merge(shards)
+    interval = np.cumsum(common < WIDTH // BLOCK)
     offset = np.cumsum(base) - base
     position = np.empty(len(z), np.int64)
     position[np.argsort(z, kind="stable")] = np.concatenate([s.order + o for s, o in zip(shards, offset)])
