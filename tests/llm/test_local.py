@@ -273,15 +273,49 @@ def test_toxicity_learns_subwords():
         texts.append(" ".join(own))
         y.append(int(k % 4 == 0))
     model = toxicity.train([toxicity.bag(t) for t in texts], np.array(y), epochs=40)
-    s = toxicity.Scorer(model)
+    score = lambda t: toxicity.scores(model, [t])[0]
     plain = " ".join(random.choices(words, k=60))
-    assert s.score(plain + " blockhead") > 0.5 > s.score(plain)
-    assert s.score(plain + " bl0ckhead") > s.score(plain) and s.score(plain + " scoundrels!") > 0.3
-    assert 0 <= s.score("") <= 1
+    assert score(plain + " blockhead") > 0.5 > score(plain)
+    assert score(plain + " bl0ckhead") > score(plain) and score(plain + " scoundrels!") > 0.3
+    assert score(plain + ' "BLOCKHEAD"! \u3000—') == pytest.approx(score(plain + " blockhead"), abs=1e-12)
+    assert 0 <= score("") == score(" \n -- ?") <= 1
     assert toxicity.train([], np.zeros(0, int)).score(0, 0) == 0.5
     assert toxicity.train([toxicity.bag("a")], np.array([1])).score(0, 0) > 0.99
 
 
+def test_toxicity_features_by_hand(monkeypatch):
+    """Lots and parts against one word at a time."""
+    random.seed(2)
+    texts = ["", "a", "Äpfel und Birnen, (don't) – 12.5 % \n\t ok", "x" * 300, "éé ééé. ÉÉ!", "名前 です"] + [" ".join("".join(random.choices("abcdé.", k=random.randint(1, 9))) for _ in range(random.randint(0, 60))) for _ in range(80)]
+
+    def plain(text):
+        out = Counter()
+        for w in text.lower().split():
+            w = w.strip(toxicity.EDGE)
+            if any(map(str.isalnum, w)):
+                m = f"<{w}>"
+                out.update([m] + [m[i : i + n] for n in toxicity.NGRAMS for i in range(len(m) - n + 1) if n < len(m)])
+        return out
+
+    rng = np.random.default_rng(3)
+    for t in texts:
+        ids, counts = toxicity.bag(t)
+        want = Counter()
+        for part, n in plain(t).items():
+            want[zlib.crc32(part.encode()) % toxicity.BUCKETS] += n
+        assert dict(zip(ids.tolist(), counts.tolist())) == want
+    model = toxicity.Model(rng.normal(size=1 << 12), 0.1)
+    want = toxicity.scores(model, texts)
+    for t, s in zip(texts, want):
+        ids, counts = toxicity.bag(t, 1 << 12)
+        assert s == pytest.approx(model.score(float(model.weights[ids] @ counts), int(counts.sum())))
+    monkeypatch.setattr(toxicity, "LOT", 50)
+    monkeypatch.setattr(toxicity, "PART", 7)
+    assert toxicity.scores(model, texts) == pytest.approx(want)
+    long = " ".join(texts)
+    assert toxicity.parts_of(long) != [long] and toxicity.scores(model, [long])[0] == pytest.approx(model.score(sum(float(model.weights[i] @ c) for i, c in (toxicity.bag(t, 1 << 12) for t in texts)), sum(int(toxicity.bag(t, 1 << 12)[1].sum()) for t in texts)))
+
+
 def test_jaccard_parts():
     a = shingles.shingle_set("a b c d e f g")
     assert len(a) == 3 and len(shingles.shingle_set("")) == 0 and len(shingles.shingle_set("x y")) == 1

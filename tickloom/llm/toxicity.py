@@ -1,6 +1,6 @@
 """Toxicity by subword bags: n-gram embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word (lower case, without punctuation around it) counts with its character n-grams of ``NGRAMS`` characters, ends marked, and with itself, each hashed to one of ``buckets`` vectors. A text's vector is the mean over all its words' features, and a linear softmax over two classes reads it. Vectors and softmax are trained together. A misspelling that was never seen shares most n-grams with the word it stands for, and so its vectors.
+A word (lower case, without punctuation around it) counts with its character n-grams of ``NGRAMS`` characters, ends marked, and with itself, each hashed to one of ``buckets`` vectors. The distinct words of a lot of texts are hashed together, in whole arrays. A text's vector is the mean over all its words' features, and a linear softmax over two classes reads it. Vectors and softmax are trained together. A misspelling that was never seen shares most n-grams with the word it stands for, and so its vectors.
 
 Training takes at most ``sample`` labelled rows (the first by a hash of their id), whose feature counts go to the driver; the fitted model is one number per bucket, at most ``buckets`` of them, and goes to the executors. Scoring is local to a row and reads whole texts.
 
@@ -9,12 +9,15 @@ Null and empty texts have no words and score by the bias alone. Null labels and
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,19 +27,82 @@ BUCKETS = 1 << 16
 NGRAMS = (3, 4, 5)
 SAMPLE = 6000
 DIM = 8
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+#: Characters of text whose words are looked at together, and characters whose n-grams are.
+LOT, PART = 4_000_000, 500_000
 EDGE = "\"'`.,;:!?()[]{}<>|*#%&$@~^_=+-/\\…«»“”‘’¡¿"
-
-
-def features(word: str, buckets: int = BUCKETS) -> np.ndarray:
-    """A word's feature numbers; none for what has no letter or digit."""
-    w = word.strip(EDGE)
-    if not any(map(str.isalnum, w)):
-        return np.zeros(0, np.int64)
-    marked = f"<{w}>"
-    parts = [marked] + [marked[i : i + n] for n in NGRAMS for i in range(len(marked) - n + 1) if n < len(marked)]
-    return np.array([zlib.crc32(p.encode("utf-8", "replace")) % buckets for p in parts], np.int64)
+BREAK = re.compile(r"\s+")
+#: Bytes of a word up to which whole words are hashed side by side.
+LOCKSTEP = 64
+
+
+@lru_cache(1)
+def crc_table() -> np.ndarray:
+    """What crc32 does with a byte, by its polynomial, bit by bit."""
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = t >> np.uint32(1) ^ np.where(t & np.uint32(1), np.uint32(0xEDB88320), np.uint32(0))
+    return t
+
+
+def crc_step(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    return crc_table()[(state ^ byte) & np.uint32(255)] ^ state >> np.uint32(8)
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(text of each word, its number, the distinct words) for the words that have a letter or digit, in lower case and without punctuation around them."""
+    split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(texts, pa.large_string())))
+    coded = split.flatten().dictionary_encode()
+    number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+    names = pc.utf8_trim(coded.dictionary, EDGE)
+    sound = pc.match_substring_regex(names, r"[\pL\pN]").to_numpy(zero_copy_only=False)
+    kept = sound[number] if len(number) else np.zeros(0, bool)
+    return owner[kept], (np.cumsum(sound) - 1)[number[kept]], names.filter(pa.array(sound))
+
+
+def features(words: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, feature number) of the words' features, in parts: of each word with its ends marked, the n-grams that are shorter than it, and the whole. A feature's number is its crc32, worked out a byte at a time for all n-grams at once."""
+    if not len(words):
+        return
+    marked = [f"<{w}>".encode("utf-8", "replace") for w in words.to_pylist()]
+    data = np.frombuffer(b"".join(marked), np.uint8)
+    chars = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))  # where characters begin
+    sizes = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+    ends = np.cumsum(sizes)
+    none = np.uint32(0xFFFFFFFF)
+    for at in range(0, len(chars) - 1, PART):
+        place = np.arange(at, min(len(chars) - 1, at + PART))
+        own = np.searchsorted(ends, place, side="right")
+        room = ends[own] - place  # characters from here to the word's end
+        fits = (room >= NGRAMS[0]) & (sizes[own] > NGRAMS[0])
+        place, own, room = place[fits], own[fits], room[fits]
+        state = np.full(len(place), none, np.uint32)
+        for n in range(1, NGRAMS[-1] + 1):
+            if n > NGRAMS[0]:
+                fits = (room >= n) & (sizes[own] > n)
+                place, own, room, state = place[fits], own[fits], room[fits], state[fits]
+            begin = chars[place + n - 1]
+            long = chars[place + n] - begin
+            state = crc_step(state, data[begin])
+            for k in range(1, 4):
+                some = np.flatnonzero(long > k)
+                if not len(some):
+                    break
+                state[some] = crc_step(state[some], data[begin[some] + k])
+            if n >= NGRAMS[0]:
+                yield own, ((state ^ none) % np.uint32(buckets)).astype(np.int64)
+    length = np.fromiter(map(len, marked), np.int64, len(marked))
+    begin = np.cumsum(length) - length
+    state = np.full(len(marked), none, np.uint32)
+    live = np.flatnonzero(length <= LOCKSTEP)
+    for k in range(LOCKSTEP):
+        live = live[length[live] > k]
+        if not len(live):
+            break
+        state[live] = crc_step(state[live], data[begin[live] + k])
+    for w in np.flatnonzero(length > LOCKSTEP).tolist():
+        state[w] = zlib.crc32(marked[w]) ^ 0xFFFFFFFF
+    yield np.arange(len(marked)), ((state ^ none) % np.uint32(buckets)).astype(np.int64)
 
 
 @dataclass
@@ -91,41 +157,56 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, buckets
     return Model((E @ (W[:, 1] - W[:, 0]) * scale).astype(np.float32), float(b[1] - b[0]))
 
 
-class Scorer:
-    """Sums of a word's weights, remembered by word."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self.known: dict[str, tuple[float, int]] = {}
-
-    def word(self, w: str) -> tuple[float, int]:
-        f = features(w, len(self.model.weights))
-        self.known[w] = out = (float(self.model.weights[f].sum(dtype=np.float64)), len(f))
-        return out
-
-    def score(self, text: str) -> float:
-        total, n, known = 0.0, 0, self.known
-        for w in text.lower().split():
-            s = known.get(w)
-            if s is None:
-                s = self.word(w)
-            total += s[0]
-            n += s[1]
-        if len(known) > REMEMBERED:
-            known.clear()
-        return self.model.score(total, n)
+def parts_of(text: str) -> list[str]:
+    """A text in parts of about a lot, cut at white space."""
+    out, start = [], 0
+    while len(text) - start > LOT:
+        found = BREAK.search(text, start + LOT)
+        if not found:
+            break
+        out.append(text[start : found.start()])
+        start = found.end()
+    return [*out, text[start:]]
+
+
+def scores(model: Model, texts: list[str]) -> list[float]:
+    """The score of each text. Texts are looked at in lots, long ones in parts; nothing is remembered between lots."""
+    total, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    lot: list[str] = []
+    owner: list[int] = []
+    size = 0
+
+    def done() -> None:
+        at, number, words = words_of(lot)
+        own, times = np.zeros(len(words)), np.zeros(len(words), np.int64)
+        for word, feature in features(words, len(model.weights)):
+            own += np.bincount(word, weights=model.weights[feature], minlength=len(words))
+            times += np.bincount(word, minlength=len(words))
+        text = np.array(owner, np.int64)[at]
+        total[:] += np.bincount(text, weights=own[number], minlength=len(texts))
+        n[:] += np.bincount(text, weights=times[number], minlength=len(texts)).astype(np.int64)
+
+    for k, t in enumerate(texts):
+        for part in parts_of(t):
+            lot.append(part)
+            owner.append(k)
+            size += len(part)
+            if size >= LOT:
+                done()
+                lot, owner, size = [], [], 0
+    if lot:
+        done()
+    return [model.score(a, b) for a, b in zip(total.tolist(), n.tolist())]
 
 
 def bag(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(feature numbers, counts) of a text."""
-    words: dict[str, int] = {}
-    for w in text.lower().split():
-        words[w] = words.get(w, 0) + 1
-    parts = [features(w, buckets) for w in words]
-    if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(p) for p in parts])
-    total = np.bincount(np.concatenate(parts), weights=times, minlength=buckets)
+    total = np.zeros(buckets)
+    for part in parts_of(text):
+        _, number, words = words_of([part])
+        times = np.bincount(number, minlength=len(words))
+        for word, feature in features(words, buckets):
+            total += np.bincount(feature, weights=times[word], minlength=buckets)
     ids = np.flatnonzero(total)
     return ids, total[ids].astype(np.int64)
 
@@ -167,10 +248,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     names = [*own, *(apart(c, own) for c in keep)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for b in batches:
-            scores = [scorer.score(t.decode("utf-8", "replace")) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32()), *b.columns[3:]], names=names)
+            found = scores(shared.value, [t.decode("utf-8", "replace") for t in b.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.float64()), pa.array([int(s >= threshold) for s in found], pa.int32()), *b.columns[3:]], names=names)
 
     kinds = {c: docs.schema[c].dataType.simpleString() for c in (id_col, *keep)}
     schema = ", ".join([f"{id_col} {kinds[id_col]}, held_out boolean, score double, predicted int", *(f"`{apart(c, own)}` {kinds[c]}" for c in keep)])
