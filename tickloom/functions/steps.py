@@ -52,6 +52,15 @@ def ratio(a: float, b: float) -> float:
     return math.nan if not a or math.isnan(a) else math.copysign(math.inf, a) * math.copysign(1.0, b)
 
 
+def top(w: list[float]) -> float:
+    """The greatest; NaN if one of them is."""
+    return math.nan if any(x != x for x in w) else max(w)
+
+
+def low(w: list[float]) -> float:
+    return math.nan if any(x != x for x in w) else min(w)
+
+
 def when(ok: bool, *values: float) -> Row:
     return values if ok else (None,) * len(values)
 
@@ -238,7 +247,7 @@ def macd(s, o, x):
 @step
 def stoch(s, o, h, l, c):
     k, slow, d = map(int, o)
-    hi, lo = max(roll(s, "h", h, k)), min(roll(s, "l", l, k))
+    hi, lo = top(roll(s, "h", h, k)), low(roll(s, "l", l, k))
     i = s["i"]
     if i < k + 1:
         return (None, None)
@@ -263,7 +272,7 @@ def stochrsi(s, o, x):
 @step
 def willr(s, o, h, l, c):
     p = int(o[0])
-    hi, lo = max(roll(s, "h", h, p)), min(roll(s, "l", l, p))
+    hi, lo = top(roll(s, "h", h, p)), low(roll(s, "l", l, p))
     return when(s["i"] >= p, 0.0 if hi - lo < EPS else 100 * (hi - c) / (hi - lo))
 
 
@@ -720,13 +729,13 @@ def wcprice(s, o, h, l, c):
 @step
 def max_(s, o, x):
     w = roll(s, "w", x, int(o[0]))
-    return when(s["i"] >= o[0] - 1, max(w))
+    return when(s["i"] >= o[0] - 1, top(w))
 
 
 @step
 def min_(s, o, x):
     w = roll(s, "w", x, int(o[0]))
-    return when(s["i"] >= o[0] - 1, min(w))
+    return when(s["i"] >= o[0] - 1, low(w))
 
 
 @step

@@ -40,7 +40,8 @@ class Stage:
         return self.over(F.max(x), p)
 
     def min(self, x: Column, p: float) -> Column:
-        return self.over(F.min(x), p)
+        """A NaN in the window makes NaN, as it does in ``max``, where Spark takes it for the greatest."""
+        return F.when(F.isnan(self.max(x, p)), F.lit(math.nan)).otherwise(self.over(F.min(x), p))
 
     def sd(self, x: Column, p: float) -> Column:
         return F.greatest(self.over(F.stddev_pop(x), p), F.lit(EPS))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,10 +16,25 @@ from ..operators.indicators import inputs_of, wanted
 from ..operators.registry import INFO
 
 
+def mark(v: object) -> int | float | str:
+    """A bar's order as a plain value that compares as the order does: nanoseconds for times, days for dates, numbers and texts as they are. Decimals keep their digits as text; ``later`` compares them as numbers."""
+    if isinstance(v, datetime.datetime):
+        return pd.Timestamp(v).value
+    if isinstance(v, datetime.date):
+        return v.toordinal()
+    if isinstance(v, (Decimal, str)):
+        return str(v)
+    return v.item() if hasattr(v, "item") else v
+
+
+def later(v: object, last: int | float | str) -> bool:
+    return v > Decimal(last) if isinstance(v, Decimal) else mark(v) > last
+
+
 def stream(bars: DataFrame, name: str, *options: float, by: str = "symbol", order: str = "ts", columns: dict[str, str] | None = None, optional: Sequence[str] | bool = ()) -> DataFrame:
     """(by, order, inputs..., outputs...) for every bar of a streaming DataFrame, in append mode.
 
-    A series' state (the steps' JSON, and the last bar's order) lives in the state store. A micro-batch's bars are sorted; a bar that isn't later than the last one seen is late, and dropped. Bars with null inputs are dropped.
+    A series' state (the steps' JSON, and the last bar's order) lives in the state store. A micro-batch's bars are sorted in the order column's own type (times, dates, numbers or texts); a bar that isn't later than the last one seen is late, and dropped. Bars with null inputs are dropped.
     """
     info = INFO[name]
     o = info.check(options)
@@ -35,14 +52,15 @@ def stream(bars: DataFrame, name: str, *options: float, by: str = "symbol", orde
         s = json.loads(text)
         new = pd.concat(list(parts)).sort_values(order, kind="stable").drop_duplicates(order)
         if last is not None:
-            new = new[new[order] > pd.Timestamp(last) if str(new[order].dtype).startswith("datetime") else new[order].astype(str) > last]
+            newest = json.loads(last)
+            new = new[[later(v, newest) for v in new[order]]]
         rows = []
         for x in new[inputs].itertuples(index=False, name=None):
             s["i"] += 1
             r = run_step(s, o, *map(float, x))
             rows.append([r[k] for k in at])
         if len(new):
-            last = str(new[order].iloc[-1])
+            last = json.dumps(mark(new[order].iloc[-1]))
         state.update((json.dumps(s), last))
         out = new[used].reset_index(drop=True)
         for k, c in enumerate(outputs):
