@@ -12,7 +12,6 @@ Null texts and roles are empty; rows without a conversation id form one conversa
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -79,18 +78,35 @@ class Turn:
     lost: int = 0
 
 
+def common(a: str, b: str) -> int:
+    """How many characters a and b begin with in common: halves are compared whole."""
+    low, high = 0, min(len(a), len(b))
+    if a[:high] == b[:high]:
+        return high
+    while high - low > 1:
+        middle = (low + high) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
 def next_turn(before: Messages, message: dict[str, str], rendered: str, template: Template) -> tuple[Turn, str]:
     """The turn that ``message`` adds after ``before``, whose rendering is ``rendered``; and the new rendering."""
     out = template.render([*before, message])
     if not out.startswith(rendered):
-        shared = len(os.path.commonprefix([rendered, out]))
+        shared = common(rendered, out)
         return Turn(out[shared:], (-1, -1), True, shared, len(rendered) - shared), out
     span = out[len(rendered) :]
-    a, b = (template.render([*before, message | {"text": p}]) for p in PROBES)
-    head = len(os.path.commonprefix([a, b]))
-    tail = len(os.path.commonprefix([a[::-1], b[::-1]]))
-    first, last = head - len(rendered), len(span) - tail
-    fits = first >= 0 and head < len(a) and a[head] == PROBES[0] and out.startswith(a[:head]) and last >= first and out.endswith(a[len(a) - tail :])
+    probes = [template.render([*before, message | {"text": p}]) for p in PROBES]
+    if not all(p.startswith(rendered) for p in probes):
+        return Turn(span, (-1, -1), False, len(rendered)), out
+    a, b = (p[len(rendered) :] for p in probes)
+    first = common(a, b)
+    tail = common(a[::-1], b[::-1])
+    last = len(span) - tail
+    fits = first < len(a) and a[first] == PROBES[0] and span.startswith(a[:first]) and last >= first and span.endswith(a[len(a) - tail :])
     return Turn(span, (first, last) if fits else (-1, -1), False, len(rendered)), out
 
 
