@@ -157,8 +157,15 @@ def test_embeddings_recall(spark):
 
 def test_components(spark):
     chain = [(k, k + 1) for k in range(30)] + [(100, 101), (7, 7)] + [(200, 300 + k) for k in range(40)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
-    assert {got[k] for k in range(31)} == {0} and got[101] == 100 and got[339] == 200
+    df = spark.createDataFrame(chain, "a long, b long")
+    for one_task in (10**6, 0):
+        got = {r["node"]: r["component"] for r in components(df, one_task).collect()}
+        assert {got[k] for k in range(31)} == {0} and got[101] == 100 and got[339] == 200
+    pairs = df.select(*(F.struct((-F.col(c)).alias("x"), F.col(c).alias("y")).alias(c) for c in "ab"))
+    for one_task in (10**6, 0):
+        got = {r["node"]["y"]: r["component"]["y"] for r in components(pairs, one_task).collect()}
+        assert {got[k] for k in range(31)} == {30} and got[100] == 101 and got[200] == 339
+    assert components(df.limit(0)).count() == 0
 
 
 def test_components_of_a_long_path(spark):
@@ -166,8 +173,9 @@ def test_components_of_a_long_path(spark):
     random.Random(11).shuffle(ids)
     rising = [(1000 + k, 1001 + k) for k in range(199)] + [(1199, 999)]  # the least node at the far end
     edges = list(zip(ids, ids[1:])) + rising
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert {got[k] for k in ids} == {1} and {got[k] for k in range(999, 1200)} == {999}
+    for one_task in (0, 10**6):
+        got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
+        assert {got[k] for k in ids} == {1} and {got[k] for k in range(999, 1200)} == {999}
 
 
 def test_row_local_operators(docs):

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, dealt, lean, lots, release_shuffles, stored
-from .graph import components
+from .graph import components, local_forest
 
 #: Pivots, and the vectors they are chosen from: numbers that don't depend on the data. No two pivots have a cosine of APART or more.
 PIVOTS, SAMPLE, APART = 512, 4096, 0.5
@@ -73,24 +73,6 @@ def fit(classes: DataFrame, count: int = PIVOTS, sample: int = SAMPLE, apart: fl
     return chosen[:n]
 
 
-def local_forest(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """For n nodes with links (a, b): the place of each node's least id in its component."""
-    order = np.argsort(ids, kind="stable")
-    rank = np.empty(n, np.int64)
-    rank[order] = np.arange(n)
-    label = np.arange(n)
-    a, b = rank[a], rank[b]
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    return order[label][rank]
-
-
 def list_keys(near: np.ndarray, pivots: int, reach: int) -> np.ndarray:
     """The lists of each permutation, in ascending order."""
     m = near.shape[1]

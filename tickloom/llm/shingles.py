@@ -19,8 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, dealt, groups, lean, release_shuffles, stored, utf8
-from .graph import components
-from .pivots import local_forest
+from .graph import components, local_forest
 
 WORDS, LEAST = 5, 0.8
 SKETCH = 64
