@@ -1,18 +1,22 @@
 """Candlestick patterns: features as columns, one Boolean expression for each pattern, generated from a table.
 
-Four averages (of the line, the body, the close and the close again, slower) and the trend they give depend on their own last values and come from a stepwise kernel; everything else is a row's own arithmetic or a lag. Every condition is computed from prices: gaps, positions and engulfing have their plain meanings, whatever other patterns are asked for.
+Four averages (of the line, the body, the close and the close again, slower) and the trend they give depend on their own last values. They, and what a bar needs from those before it, come from two passes over rows that are dealt and sorted once: the first adds averages and the bar before, the second shifts masks. Everything else is a row's own arithmetic. Every condition is computed from prices: gaps, positions and engulfing have their plain meanings, whatever other patterns are asked for.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scans import recur
+from .indicators import Series, heads
 from .patterns import PATTERNS
 
 BULL, BEAR = ("BullishReversal", "BullishContinuation", "BullishReversalOrContinuation"), ("BearishReversal", "BearishContinuation", "BearishReversalOrContinuation")
@@ -63,45 +67,80 @@ def first_row(candle_period: int, trend_period: int, trend_signal_period: int) -
     return candle_period + 4 if candle_period > slow else slow + 5
 
 
-def _averages(c: int, t: int, s: int, by: int, ohlc: list[int], names: list[str]):
-    """Stepwise columns: line and body averages before the bar, the trend average with it, and the trend (1, -1, 0 before any)."""
-    ac, at, ag = (2.0 / (n + 1) for n in (c, t, t + s))
+def _averages(periods: tuple[int, int, int], by: int, ohlc: list[int], names: list[str]):
+    """A pass that adds each bar's number in its series, line and body averages before the bar, the trend average with it, the trend (1, -1, 0 before any), and the prices of the bar before."""
+    c, t, s = periods
+    weights = [2.0 / (n + 1) for n in (c, c, t, t + s)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, line, body, fast, slow, trend = None, 0.0, 0.0, 0.0, 0.0, 0
+        current, n, last, trend, before = None, 0, [0.0] * 4, 0, [math.nan] * 4
         for b in batches:
-            keys = list(zip(*(b.column(k).to_pylist() for k in range(by)))) if by else [()] * b.num_rows
-            rows = []
-            for key, o, h, l, x in zip(keys, *(b.column(k).to_pylist() for k in ohlc)):
+            if not b.num_rows:
+                continue
+            o, h, l, x = (b.column(k).to_numpy(zero_copy_only=False) for k in ohlc)
+            numbers, trends = np.empty(b.num_rows, np.int64), np.empty(b.num_rows, np.int32)
+            shown, back = np.empty((4, b.num_rows)), np.empty((4, b.num_rows))
+            starts = heads([b.column(k) for k in range(by)], b.num_rows)
+            for a, z in zip(starts, [*starts[1:], b.num_rows]):
+                key = tuple(b.column(k)[a].as_py() for k in range(by))
+                own = (h[a:z] - l[a:z], np.abs(o[a:z] - x[a:z]), x[a:z], x[a:z])
                 if key != current:
-                    current, line, body, fast, slow, trend = key, h - l, abs(o - x), x, x, 0
-                    rows.append((line, body, fast, trend))
-                    continue
-                was = (line, body)
-                line, body = line * (1 - ac) + (h - l) * ac, body * (1 - ac) + abs(o - x) * ac
-                fast, slow = fast * (1 - at) + x * at, slow * (1 - ag) + x * ag
-                trend = 1 if fast > slow else -1 if fast < slow else trend
-                rows.append((*was, fast, trend))
-            cols = list(zip(*rows)) if rows else [[]] * 4
-            kinds = (pa.float64(), pa.float64(), pa.float64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, k) for v, k in zip(cols, kinds))], names=names)
+                    current, n, trend, before = key, 0, 0, [math.nan] * 4
+                    last = [float(v[0]) for v in own]
+                first = int(n == 0)
+                y = []
+                for k, (v, w) in enumerate(zip(own, weights)):
+                    y.append(np.concatenate([[last[k]], recur(v[first:] * w, 1 - w, last[k], plain=True)]))
+                    last[k] = float(y[-1][-1])
+                # On a series' first bar the averages are its own values.
+                for k in range(2):
+                    shown[k, a:z] = np.concatenate([y[k][:1], y[k][:-1]]) if first else y[k][:-1]
+                fast, slow = (v if first else v[1:] for v in y[2:])
+                shown[2, a:z] = fast
+                way = np.sign(fast - slow)
+                at = np.maximum.accumulate(np.where(way != 0, np.arange(z - a), -1))
+                trends[a:z] = np.where(at >= 0, way[np.maximum(at, 0)], trend)
+                trend = int(trends[z - 1])
+                numbers[a:z] = np.arange(n, n + z - a)
+                for k, v in enumerate((o, h, l, x)):
+                    back[k, a:z] = np.concatenate([[before[k]], v[a : z - 1]])
+                before = [float(v[z - 1]) for v in (o, h, l, x)]
+                n += z - a
+            none = numbers == 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers), *(pa.array(v) for v in shown[:3]), pa.array(trends), *(pa.array(v, mask=none) for v in back)], names=names)
 
     return run
 
 
-def features(df: DataFrame, candle_period: int = 5, trend_period: int = 1, trend_signal_period: int = 1, by: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",)) -> DataFrame:
-    """The bars (which need open, high, low and close) with what patterns are made of, and the candle's type."""
-    by, order = list(by), list(order)
-    own = df.withColumns({f"_{k[0]}": F.col(k).cast("double") for k in ("open", "high", "low", "close")}).where("_o is not null and _h is not null and _l is not null and _c is not null")
-    columns = [*by, *(c for c in own.columns if c not in by)]
-    dealt = own.repartition(*by).sortWithinPartitions(*by, *order).select(*columns)
-    names = [*columns, "_ema_line", "_ema_body", "_ema", "_trend"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema) + ", _ema_line double, _ema_body double, _ema double, _trend int"
-    d = dealt.mapInArrow(_averages(candle_period, trend_period, trend_signal_period, len(by), [columns.index(k) for k in ("_o", "_h", "_l", "_c")], names), schema)
-    w = Window.partitionBy(*by).orderBy(*order)
-    back = lambda c: F.lag(c).over(w)
+def _shifted(number: int, columns: dict[int, int], names: list[str]):
+    """A pass that adds columns as they were 1, 2, ... bars before (``columns``: place -> how many); null where the series hasn't as many. ``number``: where a bar's number in its series is."""
+    most = max(columns.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n, out = b.column(number).to_numpy(), []
+            for at, times in columns.items():
+                x = b.column(at).to_numpy(zero_copy_only=False)
+                whole = np.concatenate([held.get(at, np.zeros(most, x.dtype)), x])
+                out += [pa.array(whole[most - k : len(whole) - k], mask=n < k) for k in range(1, times + 1)]
+                held[at] = whole[-most:]
+            yield pa.RecordBatch.from_arrays([*b.columns, *out], names=names)
+
+    return run
+
+
+def _features(own: Series, periods: tuple[int, int, int]) -> DataFrame:
+    """The bars, dealt and sorted, with what patterns are made of, and the candle's type."""
+    prices = own.df.withColumnsRenamed(dict(zip(own.inputs, ("_o", "_h", "_l", "_c"))))
+    columns = [*own.by, *(c for c in prices.columns if c not in own.by)]
+    dealt = (prices.repartition(*own.by) if own.by else prices.repartition(1)).sortWithinPartitions(*own.by, *own.order).select(*columns)
+    more = {"_n": "long", "_ema_line": "double", "_ema_body": "double", "_ema": "double", "_trend": "int"} | dict.fromkeys(("_po", "_ph", "_pl", "_pc"), "double")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema] + [f"{k} {v}" for k, v in more.items()])
+    d = dealt.mapInArrow(_averages(periods, len(own.by), [columns.index(k) for k in ("_o", "_h", "_l", "_c")], [*columns, *more]), schema)
     o, h, l, c = F.col("_o"), F.col("_h"), F.col("_l"), F.col("_c")
-    d = d.withColumns({"_n": F.row_number().over(w) - 1, "_po": back("_o"), "_ph": back("_h"), "_pl": back("_l"), "_pc": back("_c")})
     d = d.withColumns({"_top": F.greatest(o, c), "_bot": F.least(o, c), "_ptop": F.greatest("_po", "_pc"), "_pbot": F.least("_po", "_pc"), "_body": F.abs(o - c), "_pbody": F.abs(F.col("_po") - F.col("_pc"))})
     top, bot, body = F.col("_top"), F.col("_bot"), F.col("_body")
     up, down = h - top, bot - l
@@ -127,46 +166,42 @@ def features(df: DataFrame, candle_period: int = 5, trend_period: int = 1, trend
     return d.withColumn("_type", F.when(body <= DOJI * F.col("_ema_body"), doji).when((up > 0) & (down > 0) & short, basic).otherwise(F.coalesce(marubozu, spinning, F.lit("Other"))))
 
 
-def _in(x: Column, low: Column, high: Column) -> Column:
-    return (x >= low) & (x <= high)
+def _kinds(kinds: Sequence[str]) -> str:
+    return "_type in (" + ", ".join(f"'{t}'" for t in kinds) + ")"
 
 
-def _word(word: str) -> Column:
+def _between(x: str, low: str, high: str) -> str:
+    return f"({x} >= {low} and {x} <= {high})"
+
+
+MIDDLE = "((_ptop + _pbot) / 2)"
+#: What the words of a template say about a bar.
+MEANING = {
+    "G": "_green", "R": "not _green", "hollow": "_hollow", "filled": "not _hollow",
+    "line=LONG": "_long_line", "line=SHORT": "not _long_line", "body=LONG": "_long_body", "body=SHORT": "not _long_body",
+    "lower_wick_lt_body": "not _down_long", "upper_wick_lt_body": "not _up_long", "lower_wick_2x": "_down_2", "upper_wick_2x": "_up_2",
+    "body_gap=UP": "_bot > _ptop", "body_gap=DOWN": "_top < _pbot", "wick_gap=UP": "_l > _ph", "wick_gap=DOWN": "_h < _pl",
+    "open_above_prev_mid": f"_o > {MIDDLE}", "close_above_prev_mid": f"_c > {MIDDLE}", "open_in_prev_body": _between("_o", "_pbot", "_ptop"), "close_in_prev_body": _between("_c", "_pbot", "_ptop"),
+    "high_in_prev_body": _between("_h", "_pbot", "_ptop"), "low_in_prev_body": _between("_l", "_pbot", "_ptop"), "high_in_prev_line": _between("_h", "_pl", "_ph"), "low_in_prev_line": _between("_l", "_pl", "_ph"),
+    "high_above_prev_mid": f"_h > {MIDDLE}", "low_above_prev_mid": f"_l > {MIDDLE}",
+    "engulf_prev=BODY": "_top >= _ptop and _bot <= _pbot and (_top > _ptop or _bot < _pbot)",
+    "engulf_prev=LINE": "_top >= _ph and _bot <= _pl",
+    "inside_prev=BODY": "_top <= _ptop and _bot >= _pbot and (_top < _ptop or _bot > _pbot)",
+    "inside_prev=LINE": "_h <= _ph and _l >= _pl and (_h < _ph or _l > _pl)",
+    "body_gt_prev_body": "_body > _pbody",
+}
+
+
+def _word(word: str) -> str:
     """A word of a template as a condition on the bar."""
     if word.startswith("!"):
-        kinds = {t for part in word[1:].split("|") for t in TYPES.get(part, (part,))}
-        return ~F.col("_type").isin(*sorted(kinds))
+        return "not " + _kinds(sorted({t for part in word[1:].split("|") for t in TYPES.get(part, (part,))}))
     if word.startswith("NOT_"):
-        return ~_word(word[4:])
-    o, h, l, c, po, ph, pl, pc = (F.col(k) for k in ("_o", "_h", "_l", "_c", "_po", "_ph", "_pl", "_pc"))
-    top, bot, ptop, pbot = (F.col(k) for k in ("_top", "_bot", "_ptop", "_pbot"))
-    middle = (ptop + pbot) / 2
-    known = {
-        "G": F.col("_green"), "R": ~F.col("_green"), "hollow": F.col("_hollow"), "filled": ~F.col("_hollow"),
-        "line=LONG": F.col("_long_line"), "line=SHORT": ~F.col("_long_line"), "body=LONG": F.col("_long_body"), "body=SHORT": ~F.col("_long_body"),
-        "lower_wick_lt_body": ~F.col("_down_long"), "upper_wick_lt_body": ~F.col("_up_long"), "lower_wick_2x": F.col("_down_2"), "upper_wick_2x": F.col("_up_2"),
-        "body_gap=UP": bot > ptop, "body_gap=DOWN": top < pbot, "wick_gap=UP": l > ph, "wick_gap=DOWN": h < pl,
-        "open_above_prev_mid": o > middle, "close_above_prev_mid": c > middle, "open_in_prev_body": _in(o, pbot, ptop), "close_in_prev_body": _in(c, pbot, ptop),
-        "high_in_prev_body": _in(h, pbot, ptop), "low_in_prev_body": _in(l, pbot, ptop), "high_in_prev_line": _in(h, pl, ph), "low_in_prev_line": _in(l, pl, ph),
-        "high_above_prev_mid": h > middle, "low_above_prev_mid": l > middle,
-        "engulf_prev=BODY": (top >= ptop) & (bot <= pbot) & ((top > ptop) | (bot < pbot)),
-        "engulf_prev=LINE": (top >= ph) & (bot <= pl),
-        "inside_prev=BODY": (top <= ptop) & (bot >= pbot) & ((top < ptop) | (bot > pbot)),
-        "inside_prev=LINE": (h <= ph) & (l >= pl) & ((h < ph) | (l > pl)),
-        "body_gt_prev_body": F.col("_body") > F.col("_pbody"),
-    }
-    if word in known:
-        return known[word]
+        return f"not ({_word(word[4:])})"
+    if word in MEANING:
+        return MEANING[word]
     # 'Doji' by itself is the plain kind; '!Doji' is all of them.
-    kinds = [t for part in word.split("|") for t in ((part,) if part == "Doji" else TYPES.get(part, (part,)))]
-    return F.col("_type").isin(*kinds)
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
+    return _kinds([t for part in word.split("|") for t in ((part,) if part == "Doji" else TYPES.get(part, (part,)))])
 
 
 def scan(df: DataFrame, candle_period: int = 5, trend_period: int = 1, trend_signal_period: int = 1, forecast: str | Sequence[str] | None = None, names: Sequence[str] | None = None, by: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",)) -> DataFrame:
@@ -179,48 +214,44 @@ def scan(df: DataFrame, candle_period: int = 5, trend_period: int = 1, trend_sig
         raise ValueError(f"no such forecast: {sorted(unknown)}")
     chosen = [p for p in ALL if (wished is None or p.forecast in wished) and (names is None or p.name in names)]
     chosen.sort(key=lambda p: (len(p.bars), FORECASTS.index(p.forecast), p.name))
-    d = features(df, candle_period, trend_period, trend_signal_period, by, order)
-    w = Window.partitionBy(*by).orderBy(*order)
+    own = Series(df, ["open", "high", "low", "close"], list(by), list(order))
+    d = _features(own, (candle_period, trend_period, trend_signal_period))
     # Each template once, as a bit of its bar's masks; patterns then look back at masks.
     bits: dict[str, int] = {}
     for p in chosen:
         for t in (*p.bars, *([p.before] if p.before else [])):
             bits.setdefault(t, len(bits))
+    # Conditions are written as SQL: one text is parsed at once, where columns would be put together call by call.
     words = {x: f"_w{k}" for k, x in enumerate(sorted({x for t in bits for x in t.split()}))}
-    d = d.withColumns({n: F.coalesce(_word(x), F.lit(False)) for x, n in words.items()})
+    d = d.withColumns({n: F.expr(f"coalesce({_word(x)}, false)") for x, n in words.items()})
     masks = []
     for at in range(0, len(bits), 60):
-        own = [F.when(_all([F.col(words[x]) for x in t.split()]), F.lit(1 << k - at)).otherwise(F.lit(0)) for t, k in bits.items() if at <= k < at + 60]
-        whole = own[0].cast("long")
-        for x in own[1:]:
-            whole = whole.bitwiseOR(x.cast("long"))
-        masks.append(F.when(F.col("_type") != "Other", whole).otherwise(F.lit(0).cast("long")).alias(f"_m{at // 60}"))
+        parts = [f"if({' and '.join(words[x] for x in t.split())}, {1 << k - at}L, 0L)" for t, k in bits.items() if at <= k < at + 60]
+        masks.append(F.expr(f"if(_type <> 'Other', {' | '.join(parts)}, 0L)").alias(f"_m{at // 60}"))
     kept = ["_n", "_type", "_ema", "_ema_line", "_ema_body", "_trend", "_o", "_h", "_l", "_c"]
-    d = d.select(*(F.col(f"`{c}`") for c in df.columns), *kept, *masks)
-    lags = {f"_m{m}_{k}": F.lag(f"_m{m}", k).over(w) for m in range(len(masks)) for k in range(1, 5)}
-    lags |= {f"_trend_{k}": F.lag("_trend", k).over(w) for k in range(1, 5)}
-    lags |= {f"_{x}_{k}": F.lag(f"_{x}", k).over(w) for x in "ohlc" for k in range(1, 4)}
-    d = d.withColumns(lags)
-
-    def bit(template: str, back: int) -> Column:
+    d = d.select(*own.names.values(), *kept, *masks)
+    back = {f"_m{m}": 4 for m in range(len(masks))} | {"_trend": 4} | {f"_{x}": 3 for x in "ohlc"}
+    places = {d.columns.index(c): n for c, n in back.items()}
+    kinds = dict(d.dtypes)
+    lags = {f"{c}_{k}": kinds[c] for c, n in back.items() for k in range(1, n + 1)}
+    schema = ", ".join([f"`{c}` {k}" for c, k in d.dtypes] + [f"{c} {k}" for c, k in lags.items()])
+    d = d.mapInArrow(_shifted(d.columns.index("_n"), places, [*d.columns, *lags]), schema)
+
+    def bit(template: str, back: int) -> str:
         m, k = divmod(bits[template], 60)
-        return F.col(f"_m{m}_{back}" if back else f"_m{m}").bitwiseAND(F.lit(1 << k)) != 0
+        return f"(_m{m}{f'_{back}' if back else ''} & {1 << k}L) <> 0"
 
-    def condition(p: Pattern) -> Column:
+    def condition(p: Pattern) -> str:
         n = len(p.bars)
-        parts = []
-        if p.forecast in TREND:
-            parts.append(F.col(f"_trend_{n}") == TREND[p.forecast])
-        if p.before:
-            parts.append(bit(p.before, n))
+        parts = [f"_trend_{n} = {TREND[p.forecast]}"] if p.forecast in TREND else []
+        parts += [bit(p.before, n)] if p.before else []
         parts += [bit(t, k) for k, t in enumerate(reversed(p.bars))]
-        if p.extra:
-            parts.append(F.expr(extra_sql(p.extra, n)))
-        return F.coalesce(_all(parts), F.lit(False))
+        parts += [f"({extra_sql(p.extra, n)})"] if p.extra else []
+        return " and ".join(parts)
 
-    found = F.array_compact(F.array(*(F.when(condition(p), F.lit(p.name)) for p in chosen))) if chosen else F.array().cast("array<string>")
+    found = F.expr("array_compact(array(" + ", ".join(f"if({condition(p)}, '{p.name}', null)" for p in chosen) + "))") if chosen else F.array().cast("array<string>")
     start = first_row(candle_period, trend_period, trend_signal_period)
-    return d.select(*(F.col(f"`{c}`") for c in df.columns), F.when(F.col("_n") >= start, found).alias("patterns"))
+    return d.select(*own.restored(), F.when(F.col("_n") >= start, found).alias("patterns"))
 
 
 def extra_sql(extra: str, n: int) -> str:
@@ -236,8 +267,8 @@ def extra_sql(extra: str, n: int) -> str:
 def exploded(scanned: DataFrame, by: Sequence[str] = ("symbol",), order: Sequence[str] = ("ts",)) -> DataFrame:
     """(by..., order..., pattern, forecast, bars): a row for each pattern found."""
     kinds = F.create_map(*(x for p in ALL for x in (F.lit(p.name), F.struct(F.lit(p.forecast).alias("forecast"), F.lit(len(p.bars)).alias("bars")))))
-    e = scanned.select(*by, *order, F.explode("patterns").alias("pattern")).withColumn("_k", kinds[F.col("pattern")])
-    return e.select(*by, *order, "pattern", F.col("_k.forecast").alias("forecast"), F.col("_k.bars").alias("bars"))
+    e = scanned.select(*(F.col(f"`{c}`").alias(f"u{k}") for k, c in enumerate([*by, *order])), F.explode("patterns").alias("pattern")).withColumn("kind", kinds[F.col("pattern")])
+    return e.select(*(F.col(f"u{k}").alias(c) for k, c in enumerate([*by, *order])), "pattern", F.col("kind.forecast").alias("forecast"), F.col("kind.bars").alias("bars"))
 
 
 def catalog() -> list[tuple[str, str, int]]:

@@ -30,7 +30,7 @@ def wanted(info: Info, optional: Sequence[str] | bool) -> list[str]:
     return [*info.outputs, *(k for k in info.optional if k in own)]
 
 
-class _Series:
+class Series:
     """Bars under names of our own, whatever the user's are: u0, u1, ... for the user's columns, x0, x1, ... for the inputs as doubles. Bars with a null in what is used are left out."""
 
     def __init__(self, df: DataFrame, inputs: list[str], by: list[str], order: list[str]):
@@ -48,7 +48,7 @@ class _Series:
         return [F.col(n).alias(c) for c, n in self.names.items()]
 
 
-def _frame_outputs(own: _Series, info: Info, sets: list[tuple[float, ...]]) -> tuple[DataFrame, list[list[Column]]]:
+def _frame_outputs(own: Series, info: Info, sets: list[tuple[float, ...]]) -> tuple[DataFrame, list[list[Column]]]:
     """Outputs for each option set, over one sort of the series."""
     t = Stage(own.df.withColumn("bar", F.row_number().over(Window.partitionBy(*own.by).orderBy(*own.order)) - 1), own.by, own.order, "bar")
     x = [F.col(k) for k in own.inputs]
@@ -134,7 +134,7 @@ def heads(keys: list[pa.Array], n: int) -> list[int]:
     return [0, *(np.flatnonzero(new) + 1).tolist()]
 
 
-def _kernel_outputs(own: _Series, info: Info, sets: list[tuple[float, ...]], carry: bool = False, state: str | None = None) -> tuple[DataFrame, list[list[str]]]:
+def _kernel_outputs(own: Series, info: Info, sets: list[tuple[float, ...]], carry: bool = False, state: str | None = None) -> tuple[DataFrame, list[list[str]]]:
     """A series' bars stream through one task in order; memory holds its state and a batch."""
     count = len(info.outputs) + len(info.optional)
     columns = [*own.by, *(c for c in own.df.columns if c not in own.by)]
@@ -163,7 +163,7 @@ def indicator(df: DataFrame, name: str, *options: float, by: str | Sequence[str]
     named = {k: (names or {}).get(k, k) for k in outputs}
     if clash := set(named.values()) & set(df.columns):
         raise ValueError(f"columns {sorted(clash)} exist; give new ones in names=")
-    own = _Series(df, inputs_of(info, columns), by, order)
+    own = Series(df, inputs_of(info, columns), by, order)
     every = [*info.outputs, *info.optional]
     if name in FRAMES and not stepwise:
         done, (cols,) = _frame_outputs(own, info, [o])
@@ -183,7 +183,7 @@ def sweep(df: DataFrame, name: str, sets: Sequence[Sequence[float]], by: str | S
     every = [*info.outputs, *info.optional]
     if clash := {"param_id", *outputs} & set(df.columns):
         raise ValueError(f"columns {sorted(clash)} exist already")
-    own = _Series(df, inputs_of(info, columns), by, order)
+    own = Series(df, inputs_of(info, columns), by, order)
     if name in FRAMES:
         done, cols = _frame_outputs(own, info, checked)
     else:
@@ -206,7 +206,7 @@ def resume(df: DataFrame, name: str, *options: float, states: DataFrame | None =
     every = [*info.outputs, *info.optional]
     if clash := {"state", *outputs} & set(df.columns):
         raise ValueError(f"columns {sorted(clash)} exist already")
-    own = _Series(df, inputs_of(info, columns), by, order)
+    own = Series(df, inputs_of(info, columns), by, order)
     if states is not None:
         own.df = own.df.join(states.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(by, own.by)), F.col("state").alias("was")), own.by, "left")
     else:

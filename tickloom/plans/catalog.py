@@ -127,7 +127,14 @@ def candles(forecast: str | None = None, periods: tuple[int, int, int] = (5, 3,
     return query
 
 
+def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patterns over bars on a coarse lattice, where nearly all of them occur."""
+    found = candlesticks.scan(bars.lattice(spark.read.parquet(f"{sf_dir}/lineitem.parquet")), 5, 3, 3)
+    return candlesticks.exploded(found).withColumn("ts", F.col("ts").cast("string"))
+
+
 QUERIES: dict[str, Query] = {
+    "candlestick_lattice": lattice,
     "candlestick": candles(),
     **{f"candlestick_{f.lower()}": candles(f) for f in candlesticks.FORECASTS},
     "bars_daily": of_bars(daily),
@@ -144,6 +151,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "candlestick_lattice": oracles.candles((5, 3, 3), bars=oracles.LATTICE),
     "candlestick": oracles.candles((5, 3, 3)),
     **{f"candlestick_{f.lower()}": oracles.candles((5, 3, 3), f) for f in candlesticks.FORECASTS},
     "bars_daily": bars_sql(oracles.DAILY),

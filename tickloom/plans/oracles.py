@@ -24,6 +24,14 @@ HOURLY = """SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, arg_min(v
 WEEKLY = """SELECT o_orderpriority AS symbol, CAST(date_trunc('week', o_orderdate) AS TIMESTAMP) AS ts, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low,
  arg_max(o_totalprice, o_orderkey) AS close, CAST(count(*) AS DOUBLE) AS volume FROM orders GROUP BY o_orderpriority, date_trunc('week', o_orderdate)"""
 
+LATTICE = """SELECT symbol, ts, close - b AS open, greatest(close - b, close) + u AS high, least(close - b, close) - w AS low, close, 1.0::DOUBLE AS volume FROM (
+ SELECT symbol, ts, b, u, w, 1000 + sum(g + b) OVER (PARTITION BY symbol ORDER BY ts) AS close FROM (
+ SELECT symbol, ts, ([0, 0, 0, 0.5, -0.5, 1, -1, 1.5, -1.5, 2.5, -2.5, -4, 4]::DOUBLE[])[c % 13 + 1] AS g,
+  ([1, 1, 2, 2, 3, 0.5, 0, 0.5, -0.5, -1, -2, 5, 4]::DOUBLE[])[c // 13 % 13 + 1] * (CASE WHEN ts // 9 % 2 = 0 THEN 1 ELSE -1 END) AS b,
+  ([0, 0, 0.5, 0.5, 1, 3, 0]::DOUBLE[])[d % 7 + 1] AS u, ([0, 0.5, 0, 0.5, 1, 3, 0]::DOUBLE[])[d // 7 % 7 + 1] AS w FROM (
+ SELECT 's' || (l_suppkey % 40) AS symbol, CAST(round(l_extendedprice * 100) AS BIGINT) AS c, l_partkey * 31 + CAST(round(l_extendedprice * 100) AS BIGINT) AS d,
+  row_number() OVER (PARTITION BY l_suppkey % 40 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ts FROM lineitem)))"""
+
 S = "OVER (PARTITION BY symbol ORDER BY ts)"
 
 

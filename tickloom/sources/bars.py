@@ -33,6 +33,27 @@ def weekly(orders: DataFrame) -> DataFrame:
     return build(orders, "o_orderpriority", F.date_trunc("week", "o_orderdate"), "o_totalprice", ["o_orderkey"])
 
 
+def lattice(lineitem: DataFrame) -> DataFrame:
+    """Bars on a coarse lattice of prices, one for each line item, in forty series by supplier: steps, bodies and wicks are small multiples of 0.5 taken from its numbers, and now and then none. Prices so coarse touch, gap and repeat often, as pattern tests need."""
+    from pyspark.sql import Window
+
+    key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    w = Window.partitionBy("symbol").orderBy(*key)
+    own = lineitem.select(*key, F.concat(F.lit("s"), (F.col("l_suppkey") % 40).cast("string")).alias("symbol"), cents.alias("c"), (F.col("l_partkey") * 31 + cents).alias("d"))
+    n = own.withColumn("ts", F.row_number().over(w).cast("long"))
+    # Spells of nine bars up and nine down; steps between bars, bodies, and wicks above and below.
+    way = F.when(F.floor(F.col("ts") / 9) % 2 == 0, 1).otherwise(-1)
+    pick = lambda x, *values: F.element_at(F.array(*(F.lit(float(v)) for v in values)), (x % len(values)).cast("int") + 1)
+    gap = pick(F.col("c"), 0, 0, 0, 0.5, -0.5, 1, -1, 1.5, -1.5, 2.5, -2.5, -4, 4)
+    body = pick(F.floor(F.col("c") / 13), 1, 1, 2, 2, 3, 0.5, 0, 0.5, -0.5, -1, -2, 5, 4) * way
+    up, down = pick(F.col("d"), 0, 0, 0.5, 0.5, 1, 3, 0), pick(F.floor(F.col("d") / 7), 0, 0.5, 0, 0.5, 1, 3, 0)
+    parts = n.select("symbol", "ts", gap.alias("g"), body.alias("b"), up.alias("u"), down.alias("d"))
+    close = 1000 + F.sum(F.col("g") + F.col("b")).over(Window.partitionBy("symbol").orderBy("ts"))
+    priced = parts.withColumn("close", close).withColumn("open", F.col("close") - F.col("b"))
+    return priced.select("symbol", "ts", "open", (F.greatest("open", "close") + F.col("u")).alias("high"), (F.least("open", "close") - F.col("d")).alias("low"), "close", F.lit(1.0).alias("volume"))
+
+
 def resample(bars: DataFrame, unit: str) -> DataFrame:
     """Bars of a longer unit ('week', 'month', ...) from shorter ones."""
     t = F.date_trunc(unit, F.col("ts"))
