@@ -11,7 +11,7 @@ from ..operators import candlesticks
 from ..operators.indicators import crossover, indicator, pivotpoint, resume, sweep
 from ..operators.registry import INFO
 from ..sources import bars
-from . import oracles
+from . import oracles, report, report_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,6 +133,31 @@ def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candlesticks.exploded(found).withColumn("ts", F.col("ts").cast("string"))
 
 
+def benchmark_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs, results and indicators of a benchmark, made from the driver's tables: nations stand for runs and for indicators, line items for results."""
+    nation, item = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "lineitem"))
+    key, region = F.col("n_nationkey").cast("long"), F.col("n_regionkey").cast("string")
+    start = F.lit("2024-01-01").cast("timestamp")
+    runs = nation.select((key + 1).alias("id"), F.timestamp_micros(F.unix_micros(start) + key * 30 * 3_600_000_000).alias("run_timestamp"), F.concat(F.lit('{"hostname": "host'), region, F.lit('"}')).alias("system_info"))
+    kinds = nation.select((key + 1).alias("id"), F.when(key == 24, "Rust_Candlestick").otherwise(F.lower("n_name")).alias("name"), F.concat(F.lit("about "), "n_name").alias("description"), (key % 4 + 1).cast("int").alias("input_count"), (key % 3 + 1).cast("int").alias("output_count"), (key % 3 != 0).alias("has_options"), F.when(F.col("n_regionkey") == 4, "candlestick").otherwise(F.concat(F.lit("kind"), region)).alias("category"))
+    time = F.round(F.col("l_extendedprice") * 100).cast("long")
+    results = item.select(
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_suppkey") % 25 + 1).alias("run_id"), (F.col("l_partkey") % 25 + 1).alias("indicator_id"),
+        F.element_at(F.array(*map(F.lit, report_sql.KINDS)), (F.col("l_orderkey") % 11 + 1).cast("int")).alias("implementation_type"), F.col("l_returnflag").alias("stock_symbol"), F.col("l_linestatus").alias("data_source"),
+        F.concat(F.lit("["), (F.col("l_linenumber") % 3 * 7 + 7).cast("string"), F.lit("]")).alias("options"), time.alias("mean_time_ns"), F.round(F.col("l_discount") * 1000).cast("long").alias("std_dev_ns"), (time - 500).alias("min_time_ns"), (time + 700).alias("max_time_ns"),
+        F.col("l_quantity").cast("int").alias("sample_count"), (1000 * (F.col("l_linenumber") % 2 + 1)).cast("int").alias("input_size"), F.col("l_shipdate").alias("created_at"),
+    )
+    return runs, results, kinds
+
+
+def of_report(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = report.views(*benchmark_tables(spark, sf_dir))[name]
+        return out.withColumns({k: F.col(k).cast("string") for k, kind in out.dtypes if kind.startswith("timestamp")})
+
+    return query
+
+
 QUERIES: dict[str, Query] = {
     "candlestick_lattice": lattice,
     "candlestick": candles(),
@@ -148,6 +173,7 @@ QUERIES: dict[str, Query] = {
     **{f"chunks_{k}": of_chunks(k) for k in ("ema", "rsi", "macd", "stoch", "psar")},
     "hourly_macd": hourly_macd,
     "weekly_bbands": weekly_bbands,
+    **{f"report_{k}": of_report(k) for k in report_sql.ALL},
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -165,4 +191,5 @@ ORACLE_SQL: dict[str, str] = {
     **{f"chunks_{k}": oracles.build(k, INFO[k].defaults) for k in ("ema", "rsi", "macd", "stoch", "psar")},
     "hourly_macd": oracles.build("macd", INFO["macd"].defaults, oracles.HOURLY),
     "weekly_bbands": oracles.build("bbands", INFO["bbands"].defaults, oracles.WEEKLY),
+    **{f"report_{k}": report_sql.sql(k) for k in report_sql.ALL},
 }
