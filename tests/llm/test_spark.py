@@ -69,6 +69,9 @@ def test_passages_removed_from_rows(docs):
     rows = {r["doc_id"]: r for r in out.collect()}
     assert 40 not in rows or rows[40]["text"] != corpus()[40]
     assert rows[0]["text"] == corpus()[0] and rows[0]["n_chars"] == len(corpus()[0])
+    assert rows[41]["text"] is None and rows[42]["text"] == ""
+    for r in rows.values():
+        assert (r["n_chars"] or 0) == len(r["text"] or "") and (r["lang"], r["bucket"], r["score"]) == ("en", "clash", 1.5)
     assert passages.without_repeats(docs.limit(0), keep=tuple(docs.columns)).count() == 0
 
 

@@ -409,8 +409,8 @@ def _prepared(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...])
     return own.withColumn("version", F.xxhash64("b"))
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), frequent: int = FREQUENT, texts: bool = True) -> DataFrame:
-    """(id, n_bytes, spans array<struct<start, end>>, kept binary, kept_sha256, *keep): the maximal removed spans of every row, and what is left. ``texts``: with the bytes that are left, else null."""
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), frequent: int = FREQUENT, texts: bool = True, characters: bool = False) -> DataFrame:
+    """(id, n_bytes, spans array<struct<start, end>>, kept binary, kept_sha256, *keep): the maximal removed spans of every row, and what is left. ``texts``: with the bytes that are left, else null. ``characters``: spans are shrunk to whole characters of UTF-8."""
     spark = df.sparkSession
     bounded_batches(spark)
     own = _prepared(df, id_col, text_col, keep)
@@ -452,6 +452,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 s = lookup.of(int(NO_ID) if doc is None else doc, version)
                 s = united(s["doc"], s["version"], s["start"], s["end"]) if len(s) else s
                 a, e = s["start"].tolist(), s["end"].tolist()
+                if characters and a:
+                    whole = whole_characters(text, list(zip(a, e)))
+                    a, e = [x for x, _ in whole], [y for _, y in whole]
                 rest = b"".join(text[x:y] for x, y in zip([0, *e], [*a, len(text)])) if a else text
                 n.append(len(text))
                 found.append([{"start": x, "end": y} for x, y in zip(a, e)])
@@ -485,28 +488,9 @@ def whole_characters(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", keep: tuple[str, ...] = ()) -> DataFrame:
     """The rows of ``df`` (columns ``keep``) with their repeated passages taken out of the text, by whole characters, and the count of characters set anew. Rows of which nothing is left are dropped; rows that were empty or null stay."""
-    own_names = [f"c_{i}" for i in range(len(keep))]
-    renamed = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), *(F.col(c).alias(n) for c, n in zip(keep, own_names)))
-    own = repeated_spans(renamed, "i", "t", keep=tuple(own_names), texts=False).select("spans", *own_names)
-    at, kinds = keep.index(text_col), [df.schema[c].dataType for c in keep]
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, stays = [], []
-            for text, spans in zip(b.column(1 + at).to_pylist(), b.column(0).to_pylist()):
-                if not text or not spans:
-                    texts.append(text)
-                    stays.append(True)
-                    continue
-                raw = text.encode("utf-8", "replace")
-                s = whole_characters(raw, [(x["start"], x["end"]) for x in spans])
-                rest = b"".join(raw[x:y] for x, y in zip([0, *(e for _, e in s)], [*(a for a, _ in s), len(raw)]))
-                texts.append(rest.decode("utf-8", "replace"))
-                stays.append(bool(rest))
-            cols = b.columns[1:]
-            cols[at] = pa.array(texts, cols[at].type)
-            yield pa.RecordBatch.from_arrays(cols, names=list(keep)).filter(pa.array(stays, pa.bool_()))
-
-    schema = ", ".join(f"`{c}` {k.simpleString()}" for c, k in zip(keep, kinds))
-    out = own.mapInArrow(cut, schema)
+    own = {c: f"c_{i}" for i, c in enumerate(keep) if c != text_col}
+    renamed = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), *(F.col(c).alias(n) for c, n in own.items()), F.col(text_col).isNull().alias("none"))
+    found = repeated_spans(renamed, "i", "t", keep=(*own.values(), "none"), characters=True)
+    left = found.where("n_bytes = 0 or octet_length(kept) > 0").withColumn("t", F.when(~F.col("none"), F.col("kept").cast("string")))
+    out = left.select(*(F.col(own.get(c, "t")).alias(c) for c in keep))
     return out.withColumn(count_col, F.length(text_col).cast(df.schema[count_col].dataType)) if count_col in keep else out
