@@ -51,7 +51,7 @@ def test_merge_equals_sorting():
     assert keys == sorted(key(j, p) for j in range(3) for p in range(len(symbols[j])))
     shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
     assert all(common[k] == shared(keys[k - 1], keys[k]) for k in range(1, len(keys)) if len(keys[k - 1]) == len(keys[k]) == 5)
-    assert max(common) == 5 and passages.REGION_BYTES // 4 >= 4 * passages.SHARD  # several shards in a bucket
+    assert max(common) == 5 and passages.BUCKET_BYTES >= 4 * passages.SHARD  # several shards in a bucket
 
 
 def test_windows_sent_on():

@@ -250,6 +250,21 @@ def test_licenses(spark):
     assert licenses.scan(df).count() == len(rows) and licenses.scan(df.limit(0)).count() == 0
 
 
+def test_paths_of_documents(spark):
+    df = spark.createDataFrame([(0, "s", "en"), (50, "s", "en"), (20, "s", None), (121, "s", "en"), (None, None, None)], "doc_id long, source string, lang string")
+    assert [r[0] for r in df.select(licenses.document_path()).collect()] == ["s/LICENSE.0", "s/LICENSE.50", "s/_/LICENSE.20", "s/en/1/121.txt", "_/_/_/_.txt"]
+
+
+def test_stored_tables_go(spark):
+    from tickloom.llm.common import drop_stored, shared_dir, stored
+
+    one = stored(spark.range(5), "one")
+    assert one.count() == 5 and all("/tickloom-one-" in f and f.startswith(shared_dir(spark).removeprefix("file://")[:5]) or "/tickloom-one-" in f for f in one.inputFiles())
+    drop_stored(one)
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+        one.collect()
+
+
 def test_licenses_over_lines_and_inside_them(spark):
     bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice."
     gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\nimport os"

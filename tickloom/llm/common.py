@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,10 +36,12 @@ def apart(name: str, taken: list[str]) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset (as in tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset and all runs in one process (as in tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getConf().get("spark.checkpoint.dir", "")
     if not found:
-        found = spark.sparkContext._jsc.sc().getConf().get("spark.checkpoint.dir", "") or f"{spark.conf.get('spark.sql.warehouse.dir')}/tickloom-intermediate"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir isn't set: it must name a folder that the driver and all executors share")
+        found = f"{spark.conf.get('spark.sql.warehouse.dir')}/tickloom-intermediate"
     return found.rstrip("/")
 
 
@@ -51,20 +54,25 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: The name of a stored table's folder.
+OURS = re.compile(r"/tickloom-\w+-[0-9a-f]{12}$")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back: lineage is cut, and lost executors cost no more than the stage that reads it. Removed when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/tickloom-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Removes the files of a stored table once nothing reads it any more."""
-    for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        if f.startswith(shared_dir(spark)) or "/tickloom-" in f:
-            _remove(spark, f)
+def drop_stored(*tables: DataFrame) -> None:
+    """Removes the files of stored tables, once all that was made from them has been written."""
+    for df in tables:
+        for f in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+            if OURS.search(f):
+                _remove(df.sparkSession, f)
 
 
 def release_shuffles(spark: SparkSession) -> None:

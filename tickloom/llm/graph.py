@@ -60,8 +60,11 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     links = stored(edges.select("a", "b"), "links")
     if links.count() <= one_task:
         kind = links.schema["a"].dataType.simpleString()
-        return stored(links.coalesce(1).mapInArrow(lean(_united), f"node {kind}, component {kind}"), "labels")
+        found = stored(links.coalesce(1).mapInArrow(lean(_united), f"node {kind}, component {kind}"), "labels")
+        drop_stored(links)
+        return found
     both = stored(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
+    drop_stored(links)
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
@@ -71,8 +74,9 @@ def components(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         jump = labels.select(F.col("node").alias("now"), F.col("label").alias("further"))
         after = stored(least.join(jump, "now", "left").select("node", F.least("now", F.coalesce("further", "now")).alias("label"), (F.least("now", F.coalesce("further", "now")) != F.col("label")).alias("moved")), "labels")
         moved = after.where("moved").limit(1).count()
-        drop_stored(labels.sparkSession, labels)
+        drop_stored(labels)
         labels = after.select("node", "label")
         if not moved:
             break
+    drop_stored(both)
     return labels.select("node", F.col("label").alias("component"))

@@ -229,8 +229,12 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
 
 
 def document_path(source: str = "source", lang: str = "lang", doc_id: str = "doc_id") -> F.Column:
-    """Where a document would lie in a tree: source / language / hundred / id."""
-    return F.concat(F.coalesce(F.col(source), F.lit("_")), F.lit("/"), F.coalesce(F.col(lang), F.lit("_")), F.lit("/"), F.coalesce(F.floor(F.col(doc_id) / 100).cast("string"), F.lit("_")), F.lit("/"), F.coalesce(F.col(doc_id).cast("string"), F.lit("_")), F.lit(".txt"))
+    """Where a document would lie in a tree. Every fiftieth id stands in its source's folder, every tenth of the others in the folder of its language there, both with a licence file's name; the rest lie one folder deeper, by hundred. Licence files without a notice govern nothing."""
+    source, lang = F.coalesce(F.col(source), F.lit("_")), F.coalesce(F.col(lang), F.lit("_"))
+    number = F.col(doc_id)
+    name = F.coalesce(number.cast("string"), F.lit("_"))
+    hundred = F.coalesce(F.floor(number / 100).cast("string"), F.lit("_"))
+    return F.when(number % 50 == 0, F.concat(source, F.lit("/LICENSE."), name)).when(number % 10 == 0, F.concat(source, F.lit("/"), lang, F.lit("/LICENSE."), name)).otherwise(F.concat(source, F.lit("/"), lang, F.lit("/"), hundred, F.lit("/"), name, F.lit(".txt")))
 
 
 def oracle(templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST) -> str:
@@ -241,7 +245,7 @@ def oracle(templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LE
     return f"""
 WITH idf(w, idf) AS (VALUES {idf}),
 vec(template, name, w, y) AS (VALUES {vectors}),
-own AS (SELECT doc_id, coalesce(source, '_') || '/' || coalesce(lang, '_') || '/' || coalesce(CAST(doc_id // 100 AS VARCHAR), '_') || '/' || coalesce(CAST(doc_id AS VARCHAR), '_') || '.txt' AS path, coalesce(text, '') AS text FROM documents),
+own AS (SELECT doc_id, coalesce(source, '_') || '/' || CASE WHEN doc_id % 50 = 0 THEN 'LICENSE.' || doc_id WHEN doc_id % 10 = 0 THEN coalesce(lang, '_') || '/LICENSE.' || doc_id ELSE coalesce(lang, '_') || '/' || coalesce(CAST(doc_id // 100 AS VARCHAR), '_') || '/' || coalesce(CAST(doc_id AS VARCHAR), '_') || '.txt' END AS path, coalesce(text, '') AS text FROM documents),
 cut AS (SELECT path, string_split(text, chr(10)) AS l, text FROM own),
 units AS (SELECT path, unnest(range(len(l))) AS line, unnest(l) AS t FROM cut UNION ALL SELECT path, -1, text FROM cut),
 words AS (SELECT path, line, unnest(regexp_split_to_array(lower(t), '{WORD}')) AS w FROM units),
@@ -252,7 +256,9 @@ dots AS (SELECT path, line, template, name, sum(x * y) AS dot FROM weighed JOIN
 scored AS (SELECT path, line, name, round(dot / norm, 6) AS cosine FROM dots JOIN norm USING (path, line)),
 best AS (SELECT path, line, name, cosine FROM scored WHERE cosine >= {least} QUALIFY row_number() OVER (PARTITION BY path, line ORDER BY cosine DESC, name) = 1),
 heads AS (SELECT path, name AS h_name, cosine AS h_cosine FROM best WHERE line >= 0 QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, name) = 1),
-licences AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, name AS d_name, cosine AS d_cosine FROM best WHERE line < 0 QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, name) = 1),
+wholes AS (SELECT path, name, cosine FROM best WHERE line < 0),
+governs AS (SELECT * FROM wholes UNION ALL SELECT path, h_name, h_cosine FROM heads WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '{LICENCE_NAME}') AND path NOT IN (SELECT path FROM wholes)),
+licences AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, name AS d_name, cosine AS d_cosine FROM governs QUALIFY row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, name) = 1),
 dirs AS (SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS below FROM own),
 nearest AS (SELECT below, dir AS licence_dir, d_name, d_cosine FROM dirs JOIN licences ON dir = '' OR dir = below OR starts_with(below, dir || '/') QUALIFY row_number() OVER (PARTITION BY below ORDER BY length(dir) DESC) = 1)
 SELECT doc_id, path, coalesce(h_name, d_name) AS license, CASE WHEN h_name IS NOT NULL THEN 'header' WHEN d_name IS NOT NULL THEN 'inherited' END AS origin, coalesce(h_cosine, d_cosine) AS cosine, CASE WHEN h_name IS NULL THEN licence_dir END AS licence_dir

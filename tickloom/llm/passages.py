@@ -30,8 +30,8 @@ WIDTH, GRAM = suffixes.WIDTH, 32
 SPREAD = WIDTH - GRAM + 1  # strings of GRAM bytes in a window
 SLICE = 600_000  # bytes of text that are scanned at once
 ENTRIES = 400_000  # regions that a task gathers before it sends them on
-#: Bytes of text for each bucket of anchors, and of regions for each bucket of transforms.
-ANCHOR_BYTES, REGION_BYTES = 8_000_000, 800_000
+#: Bytes of text for each task of step 2, of regions for each task of step 3, and of regions for each of its buckets.
+ANCHOR_BYTES, REGION_BYTES, BUCKET_BYTES = 8_000_000, 4_000_000, 200_000
 SHARD = 1 << 15
 #: Distinct regions of an anchor above which its windows are dealt one by one.
 FREQUENT = 20_000
@@ -426,7 +426,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     asked = found.where(F.col("kind") == ASKED)
     n = asked.agg(F.sum("n")).first()[0] or 0
     region_tasks = max(8, int(n * 140 // REGION_BYTES) + 1)
-    cut = _with_texts(bucketed.select("doc", "version", "b", "bucket"), asked, doc_buckets, []).mapInArrow(lean(_cut(region_tasks * 4, doc_buckets), forget_powers), SENT)
+    cut = _with_texts(bucketed.select("doc", "version", "b", "bucket"), asked, doc_buckets, []).mapInArrow(lean(_cut(region_tasks * (REGION_BYTES // BUCKET_BYTES), doc_buckets), forget_powers), SENT)
     windows = stored(cut.repartition(region_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_merge(doc_buckets)), SENT), "passages")
     release_shuffles(spark)
 

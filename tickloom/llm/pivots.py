@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, dealt, lean, lots, release_shuffles, stored
+from .common import bounded_batches, dealt, drop_stored, lean, lots, release_shuffles, stored
 from .graph import components, local_forest
 
 #: Pivots, and the vectors they are chosen from: numbers that don't depend on the data. No two pivots have a cosine of APART or more.
@@ -197,6 +197,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                 yield from some.select(["key", "i", "j", "side", "h1", "h2"]).append_column("lists", near).combine_chunks().to_batches()
 
     asked = stored(grouped.mapInArrow(lean(probe), "key long, i int, j int, side int, h1 long, h2 long, lists array<long>"), "asked")
+    drop_stored(described)
     release_shuffles(spark)
     full = asked.join(classes.select("h1", "h2", "mult", "v"), ["h1", "h2"]).select("key", "i", "j", "side", "h1", "h2", "mult", "lists", "v").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "h1", "h2")
 
@@ -219,6 +220,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h1", "h2", "links", "r1", "r2"])
 
     found = stored(full.mapInArrow(lean(verify), "h1 long, h2 long, links long, r1 long, r2 long"), "found")
+    drop_stored(asked)
     release_shuffles(spark)
     counted = found.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
     # A class is known by its least id and its hash: the least node of a component has the component's least id.

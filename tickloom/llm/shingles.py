@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, dealt, groups, lean, release_shuffles, stored, utf8
+from .common import bounded_batches, dealt, drop_stored, groups, lean, release_shuffles, stored, utf8
 from .graph import components, local_forest
 
 WORDS, LEAST = 5, 0.8
@@ -27,8 +27,8 @@ LIMIT, DEPTH, BLOCK = 256, 3, 1500
 RECALL = 0.99999
 #: Sketches that agree in a smaller part than this have no similarity of 0.8: five standard deviations below.
 POSSIBLE = 0.55
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 200_000
+#: Words that a worker remembers before it starts anew, and characters up to which it remembers a word.
+REMEMBERED, SHORT = 200_000, 64
 NO_ID = 2**63 - 1
 U = np.uint64
 
@@ -41,7 +41,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 class _Words(dict):
     def __missing__(self, word: str) -> int:
-        self[word] = h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+        if len(word) <= SHORT:
+            self[word] = h
         return h
 
 
@@ -147,7 +149,8 @@ SPLIT = "node long, h1 long, h2 long"
 
 
 def leaves(classes: DataFrame, runs: int, limit: int, depth: int) -> DataFrame:
-    """(node, h1, h2): the nodes at which sets are compared, each with two sets at least."""
+    """(node, h1, h2), stored: the nodes at which sets are compared, each with two sets at least."""
+    used = []
     level = classes.select("h1", "h2", "sketch").mapInArrow(_split(runs), SPLIT).distinct()
     out = None
     for d in range(depth):
@@ -155,12 +158,15 @@ def leaves(classes: DataFrame, runs: int, limit: int, depth: int) -> DataFrame:
         # Stored, so that both sides of the join are plain exchanges, which Spark splits where a node is hot.
         sizes = stored(level.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
         sized = level.join(sizes, "node")
+        used += [level, sizes]
         done = (sized if d == depth - 1 else sized.where(F.col("size") <= limit)).select("node", "h1", "h2")
         out = done if out is None else out.unionByName(done)
         if d == depth - 1:
             break
         large = sized.where(F.col("size") > limit).select("node", "h1", "h2")
         level = large.join(classes.select("h1", "h2", "sketch"), ["h1", "h2"]).select("h1", "h2", "sketch", "node").mapInArrow(_split(runs), SPLIT).distinct()
+    out = stored(out, "leaves")
+    drop_stored(*used)
     return out
 
 
@@ -270,7 +276,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
     described = stored(describe(df, id_col, text_col), "sets")
     # Combined before the shuffle: any number of copies is one row a task.
     classes = stored(described.where("n > 0").groupBy("h1", "h2").agg(F.min(F.struct(F.coalesce("id", F.lit(NO_ID)).alias("id"), "version")).alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    where = stored(leaves(classes, runs_for(recall, least, depth), limit, depth), "leaves")
+    where = leaves(classes, runs_for(recall, least, depth), limit, depth)
     of_class = where.groupBy("h1", "h2").agg(F.sort_array(F.collect_set("node")).alias("nodes"))  # a set has a few nodes for each run
     tasks = dealt(where, "node", "h1", block)
     full = tasks.join(classes.select("h1", "h2", "n", "sketch").join(of_class, ["h1", "h2"]), ["h1", "h2"]).select("node", "i", "j", "side", "h1", "h2", "n", "sketch", "nodes")
@@ -286,6 +292,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
                 yield from some.combine_chunks().to_batches()
 
     asked = stored(grouped.mapInArrow(lean(probe), "node long, i int, j int, side int, h1 long, h2 long, nodes array<long>"), "asked")
+    drop_stored(where)
     release_shuffles(spark)
     # The texts of the classes that have a possible partner, once each, then their sets to each task that compares them.
     needed = asked.select("h1", "h2").distinct().join(classes.select("h1", "h2", "mult", F.col("rep.id").alias("id"), F.col("rep.version").alias("version")), ["h1", "h2"])
@@ -314,6 +321,7 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: f
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["h1", "h2", "links", "r1", "r2"])
 
     found = stored(spread.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j").mapInArrow(lean(compare), "h1 long, h2 long, links long, r1 long, r2 long"), "found")
+    drop_stored(asked)
     release_shuffles(spark)
     counted = found.groupBy("h1", "h2").agg(F.sum("links").alias("links"))
     # A class is known by its first row (id, version): ids alone may be null or shared by several texts.

@@ -96,7 +96,7 @@ class PieceCounter:
                     break
                 wide *= 2  # alignment failed: a wider overlap
             if cut < 0:
-                end = min(len(text), end + chunk)  # no boundary in all of the chunk: a longer one
+                end = min(len(text), start + 2 * (end - start))  # no boundary in all of the chunk: one twice as long
                 continue
             out.append((start, left[cut] - lead))
             start, end = cut, min(len(text), cut + chunk)
