@@ -11,7 +11,7 @@ from ..operators import candlesticks
 from ..operators.indicators import crossover, indicator, pivotpoint, resume, sweep
 from ..operators.registry import INFO
 from ..sources import bars
-from . import oracles, report, report_sql
+from . import optionals, oracles, report, report_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -86,7 +86,10 @@ p AS (SELECT symbol, h, l, (h + l + c) / 3 AS pp, h - l AS r FROM g),
 q AS (SELECT symbol, 2 * pp - h - r AS s3, pp - r AS s2, 2 * pp - h AS s1, pp, 2 * pp - l AS r1, pp + r AS r2, 2 * pp - l + r AS r3 FROM p)
 SELECT symbol, {", ".join(f"round({k} + {oracles.SHIFT}, {oracles.DIGITS}) AS {k}" for k in PIVOTS)} FROM q"""
 
-SWEEP = {"sma": [(5,), (20,), (50,)], "ema": [(5,), (20,), (50,)], "rsi": [(7,), (14,), (21,)], "bbands": [(10, 1.5), (20, 2)]}
+SWEEP = {
+    "sma": [(5,), (20,), (50,)], "ema": [(5,), (20,), (50,)], "rsi": [(7,), (14,), (21,)], "bbands": [(10, 1.5), (20, 2)],
+    "macd": [(3, 8, 4), (12, 26, 9)], "adx": [(2,), (14,), (40,)], "atr": [(1,), (14,)], "stoch": [(5, 1, 1), (14, 3, 3)], "psar": [(0.02, 0.2), (0.1, 0.3)], "kama": [(2,), (30,)], "wma": [(1,), (9,)], "linreg": [(3,), (30,)], "mfi": [(1,), (14,)], "wilders": [(1,), (30,)], "adosc": [(1, 2), (3, 10)], "vidya": [(2, 5, 0.5), (5, 20, 0.2)],
+}
 
 
 def of_sweep(name: str) -> Query:
@@ -103,10 +106,26 @@ def of_chunks(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         d = daily(spark, sf_dir)
         early = F.col("ts") < F.lit("1995-01-01").cast("timestamp")
+        info = INFO[name]
         one = resume(d.where(early), name)
         states = one.where("state is not null").select("symbol", "state")
         two = resume(d.where(~early), name, states=states)
-        return shown(one.unionByName(two), list(INFO[name].outputs))
+        return shown(one.unionByName(two), list(info.outputs))
+
+    return query
+
+
+#: What is fed in two chunks: all that is recursive, and some that are not.
+CHUNKS = (*(k for k, i in INFO.items() if i.recursive), "stoch", "obv", "wma")
+
+
+def of_optional(name: str) -> Query:
+    """An indicator's optional outputs."""
+    info = INFO[name]
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = indicator(daily(spark, sf_dir), name, optional=True, names={k: f"_{k}" for k in (*info.outputs, *info.optional)})
+        return shown(out.select("symbol", "ts", *(F.col(f"_{k}").alias(k) for k in info.optional)), list(info.optional))
 
     return query
 
@@ -170,7 +189,8 @@ QUERIES: dict[str, Query] = {
     "pivotpoint": pivots,
     **{f"ind_{k}": of_indicator(k) for k in INFO},
     **{f"sweep_{k}": of_sweep(k) for k in SWEEP},
-    **{f"chunks_{k}": of_chunks(k) for k in ("ema", "rsi", "macd", "stoch", "psar")},
+    **{f"chunks_{k}": of_chunks(k) for k in CHUNKS},
+    **{f"optional_{k}": of_optional(k) for k in optionals.TWINS},
     "hourly_macd": hourly_macd,
     "weekly_bbands": weekly_bbands,
     **{f"report_{k}": of_report(k) for k in report_sql.ALL},
@@ -188,7 +208,8 @@ ORACLE_SQL: dict[str, str] = {
     "pivotpoint": PIVOTS_SQL,
     **{f"ind_{k}": oracles.build(k, i.defaults) for k, i in INFO.items()},
     **{f"sweep_{k}": sweep_sql(k) for k in SWEEP},
-    **{f"chunks_{k}": oracles.build(k, INFO[k].defaults) for k in ("ema", "rsi", "macd", "stoch", "psar")},
+    **{f"chunks_{k}": oracles.build(k, INFO[k].defaults) for k in CHUNKS},
+    **{f"optional_{k}": optionals.sql(k) for k in optionals.TWINS},
     "hourly_macd": oracles.build("macd", INFO["macd"].defaults, oracles.HOURLY),
     "weekly_bbands": oracles.build("bbands", INFO["bbands"].defaults, oracles.WEEKLY),
     **{f"report_{k}": report_sql.sql(k) for k in report_sql.ALL},

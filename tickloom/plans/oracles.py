@@ -230,7 +230,8 @@ def build(name: str, o: tuple[float, ...], bars: str = DAILY) -> str:
         t.recurse(v=("close", f"CASE WHEN b.i < {o[1] - 1} THEN b.close ELSE (b.close - r.v) * b.k + r.v END"))
         out = ["v"]
     elif name == "wilders":
-        t.add(m=frame("avg", x, p)).recurse(y=("NULL", f"CASE WHEN b.i <= {p - 1} THEN b.m ELSE r.y * {(p - 1) / p!r}::DOUBLE + b.close * {1 - (p - 1) / p!r}::DOUBLE END"))
+        t.add(m=frame("avg", x, p)).recurse(y=("m" if p == 1 else "NULL",  # with a period of 1 the first bar is the seed
+             f"CASE WHEN b.i <= {p - 1} THEN b.m ELSE r.y * {(p - 1) / p!r}::DOUBLE + b.close * {1 - (p - 1) / p!r}::DOUBLE END"))
         out = ["y"]
     elif name in ("rsi", "stochrsi"):
         m = (p - 1) / p
