@@ -294,6 +294,47 @@ def test_toxicity(docs, spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_on_held_out_rows(spark):
+    """On the driver's small tables, where they are: labels that were never learned are told apart."""
+    from pathlib import Path
+
+    folder = Path("/root/testdata/sf0.1")
+    if not folder.exists():
+        pytest.skip("no driver tables here")
+    documents, labels = (spark.read.parquet(str(folder / f"{t}.parquet")) for t in ("documents", "labels"))
+    model = toxicity.fit(documents, labels)
+    rows = toxicity.score(documents, model).join(labels, "doc_id").where("held_out and toxic is not null").select("score", "predicted", "toxic").collect()
+    bad, good = ([r for r in rows if r["toxic"] == k] for k in (1, 0))
+    better = sum((a["score"] > b["score"]) + (a["score"] == b["score"]) / 2 for a in bad for b in good) / (len(bad) * len(good))
+    assert better > 0.9 and sum(r["predicted"] for r in bad) > 0.7 * len(bad) and sum(r["predicted"] for r in good) < 0.2 * len(good)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    long = prose(rng, 400_000) + "x" * 300_000 + " " + "é" * 100_000 + "\n" * 2000 + "z"
+    rows = [(1, long), (2, "short"), (3, long[:1_000_000])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts, sizes = dict(rows), {i: len(t.encode()) for i, t in rows}
+    model, bpe = tokenizer_path("piece_bpe_32k.model"), tokenizer_path("byte_bpe_50k.json")
+    sp, tok = tokencount.counter(model).sp, packing.byte_tokens(bpe)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in tokencount.token_counts(df, model).collect()} == {i: (sizes[i], len(sp.encode(t))) for i, t in texts.items()}
+    assert all(r["lossless"] for r in mergedrop.round_trip(df, model, seed=2, dropout=0.1).collect())
+    packed = packing.pack_documents(df, bpe).collect()
+    assert {i: max(r["doc_tokens"] for r in packed if r["doc_id"] == i) for i in texts} == {i: len(tok.whole(t)) + 1 for i, t in texts.items()}
+    assert {i: sum(r["length"] for r in packed if r["doc_id"] == i) for i in texts} == {i: len(tok.whole(t)) + 1 for i, t in texts.items()}
+    media_rows = {r["doc_id"]: r for r in media.media_digest(media.to_media(df, "doc_id", "text")).collect()}
+    assert all(media_rows[i]["payload_sha256"] == hashlib.sha256(media.payload_of(t.encode())).hexdigest() for i, t in texts.items())
+    removed = {r["doc_id"]: r["n_removed"] for r in passages.digest(df).collect()}
+    assert removed[3] == sizes[3] and removed[2] == 0
+    joined = {r["doc_id"]: r["class_id"] for r in shingles.join(df.unionByName(df.where("doc_id = 1").withColumn("doc_id", F.lit(9).cast("long")))).collect()}
+    assert joined == {1: 1, 2: 2, 3: 3, 9: 1}
+    fitted = toxicity.train([toxicity.bag("bad words"), toxicity.bag("good ones")], np.array([1, 0]))
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score(df, fitted).collect())
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    d = chat.conversation_digest(chat.format_turns(turns)).collect()[0]
+    assert d["loss_chars"] == len(long) and d["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+
+
 def test_pipeline(docs, spark, tmp_path):
     import corpus_pipeline
 
