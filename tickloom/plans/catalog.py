@@ -107,7 +107,7 @@ def of_chunks(name: str) -> Query:
         d = daily(spark, sf_dir)
         early = F.col("ts") < F.lit("1995-01-01").cast("timestamp")
         info = INFO[name]
-        one = resume(d.where(early), name)
+        one = resume(d.where(early), name).persist()  # read twice: for its rows and for its states
         states = one.where("state is not null").select("symbol", "state")
         two = resume(d.where(~early), name, states=states)
         return shown(one.unionByName(two), list(info.outputs))
