@@ -425,8 +425,10 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     bucketed = own.withColumn("bucket", bucket_column("doc", "version", doc_buckets))
     asked = found.where(F.col("kind") == ASKED)
     n = asked.agg(F.sum("n")).first()[0] or 0
-    region_tasks = max(8, int(n * 140 // REGION_BYTES) + 1)
-    cut = _with_texts(bucketed.select("doc", "version", "b", "bucket"), asked, doc_buckets, []).mapInArrow(lean(_cut(region_tasks * (REGION_BYTES // BUCKET_BYTES), doc_buckets), forget_powers), SENT)
+    # Buckets follow the bytes alone, so that each has several shards on small tables as well.
+    buckets = int(n * 140 // BUCKET_BYTES) + 1
+    region_tasks = min(buckets, max(8, int(n * 140 // REGION_BYTES) + 1))
+    cut = _with_texts(bucketed.select("doc", "version", "b", "bucket"), asked, doc_buckets, []).mapInArrow(lean(_cut(buckets, doc_buckets), forget_powers), SENT)
     windows = stored(cut.repartition(region_tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(_merge(doc_buckets)), SENT), "passages")
     release_shuffles(spark)
 
