@@ -28,7 +28,7 @@ from .common import bounded_batches, lean, release_shuffles, stored, utf8
 
 WIDTH, GRAM = suffixes.WIDTH, 32
 SPREAD = WIDTH - GRAM + 1  # strings of GRAM bytes in a window
-SLICE = 600_000  # bytes of text that are scanned at once
+SLICE = 300_000  # bytes of text that are scanned at once
 ENTRIES = 400_000  # regions that a task gathers before it sends them on
 #: Bytes of text for each task of step 2, of regions for each task of step 3, and of regions for each of its buckets.
 ANCHOR_BYTES, REGION_BYTES, BUCKET_BYTES = 8_000_000, 4_000_000, 200_000
@@ -349,7 +349,7 @@ def _cut(region_buckets: int, doc_buckets: int):
                     else:
                         lots.setdefault(key % region_buckets, []).append((doc, version, start, end, text[start:end]))
                         size += end - start
-                if size >= 8_000_000:
+                if size >= 4_000_000:
                     yield flush()
                     lots, size = {}, 0
         if lots:
