@@ -24,7 +24,7 @@ from .graph import components, local_forest
 #: Pivots, and the vectors they are chosen from: numbers that don't depend on the data. No two pivots have a cosine of APART or more.
 PIVOTS, SAMPLE, APART = 512, 4096, 0.5
 NEAREST, REACH = 8, 6
-BLOCK = 2000
+BLOCK = 1000
 #: Groups up to this many rows are compared together, by shifts of whole columns.
 SMALL = 48
 NO_ID = 2**63 - 1
