@@ -152,18 +152,45 @@ def holding(files: DataFrame, weights: Weights, least: float) -> DataFrame:
     return files.where(F.exists(there, enough))
 
 
-def windows(files: DataFrame, pattern: str) -> DataFrame:
-    """(path, line, t): every window of lines and of sentences with one of the needed words. line: the window's hash, so that equal windows of a path are one."""
+def windows(files: DataFrame, weights: Weights, least: float) -> DataFrame:
+    """(path, line, t): the windows of lines and of sentences that may reach ``least``. line: the window's hash, so that equal windows of a path are one.
 
-    def of(l: F.Column, n: int) -> F.Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(l) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(l, i, n), "\n"))
+    Two bounds, worked out part by part before any window becomes a text: a cosine is at most the length of the template's part whose words are there, and these squares, each word at its greatest, are added up over the parts; and it is at most the length of the window's part in template words, whose frequencies are at most their number, against that part and the distinct other words of any one part together. Both are exact: what is left out can't reach ``least``.
+    """
+    heaviest = max(weights.idf.values())
+    greatest: dict[str, float] = {}
+    for _, _, w, x in weights.vectors:
+        greatest[w] = max(greatest.get(w, 0.0), x * x)
+    square = F.create_map(*(F.lit(v) for pair in greatest.items() for v in pair))
+    slack = least * least - 1e-6
+    total = lambda numbers: F.aggregate(numbers, F.lit(0.0), lambda a, x: a + x)
+
+    def facts(part: F.Column) -> F.Column:
+        """(squares, template words, distinct other words) of a part."""
+        words = F.filter(F.split(F.lower(part), WORD), lambda w: (w != "") & ~w.isin(*STOP))
+        known = F.transform(F.array(words), lambda ws: F.struct(ws.alias("ws"), F.filter(ws, lambda w: w.isin(*greatest)).alias("known")))
+        one = F.transform(known, lambda s: F.struct(total(F.transform(F.array_distinct(s["known"]), lambda w: square[w])).alias("squares"), F.size(s["known"]).cast("double").alias("hits"), (F.size(F.array_distinct(s["ws"])) - F.size(F.array_distinct(s["known"]))).cast("double").alias("others")))
+        return F.element_at(one, 1)
+
+    def may(f: F.Column) -> F.Column:
+        """Whether a window of parts with these facts may reach ``least``."""
+        mine = F.pow(total(F.transform(f, lambda x: x["hits"])) * heaviest, F.lit(2.0))
+        rest = F.array_max(F.transform(f, lambda x: x["others"])) * weights.other**2
+        return (total(F.transform(f, lambda x: x["squares"])) >= slack) & (mine >= slack * (mine + rest))
 
     def runs(parts: F.Column, length: int) -> F.Column:
         own = F.filter(parts, lambda p: p.rlike("(?i)[a-z0-9]"))
-        return F.flatten(F.transform(F.array(own), lambda l: F.flatten(F.array(*(of(l, n) for n in range(1, length + 1))))))
+        # What is used more than once is a lambda's variable, so that it is worked out once.
+        both = F.transform(F.array(own), lambda l: F.struct(l.alias("l"), F.transform(l, facts).alias("f")))
+
+        def of(s: F.Column, n: int) -> F.Column:
+            starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s["l"]) - n + 1, F.lit(1))), lambda i: F.coalesce(may(F.slice(s["f"], i, n)), F.lit(False)))
+            return F.transform(starts, lambda i: F.array_join(F.slice(s["l"], i, n), "\n"))
+
+        return F.flatten(F.transform(both, lambda s: F.flatten(F.array(*(of(s, n) for n in range(1, length + 1))))))
 
     cut = files.select("path", F.explode(F.concat(runs(F.split("text", "\n"), WINDOW), runs(F.split("text", SENTENCE), 2))).alias("t"))
-    return cut.where(F.col("t").rlike(pattern)).select("path", F.xxhash64("t").alias("line"), "t").distinct()
+    return cut.select("path", F.xxhash64("t").alias("line"), "t").distinct()
 
 
 def cosines(units: DataFrame, weights: Weights, least: float) -> DataFrame:
@@ -200,8 +227,8 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     wide = Weights((*templates, *headers), least)
     # One word alone is no notice ('mit' is a German word).
     several = F.size(F.array_intersect(F.split(F.lower("t"), WORD), F.array(*map(F.lit, sorted(wide.idf))))) > 1
-    held = holding(own.where(F.col("text").rlike(wide.pattern)).select("path", "text"), wide, least)
-    seen = cosines(stored(possible(windows(held, wide.pattern), wide, least).where(several), "windows"), wide, least)
+    held = holding(own.select("path", "text"), wide, least)
+    seen = cosines(stored(possible(windows(held, wide, least), wide, least).where(several), "windows"), wide, least)
     m = F.struct((-F.col("cosine")).alias("c"), "name")
     part, whole = PART_OF
     wider = seen.groupBy("path").agg(F.min(F.when(F.col("name") != part, m)).alias("other"), F.min(F.when(F.col("name") == part, m)).alias("part"), F.max(F.col("name") == whole).alias("has")).select("path", F.array_min(F.array("other", F.when(~F.col("has"), F.col("part")))).alias("wide"))
