@@ -241,7 +241,9 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     dirs = own.select(directory(F.col("path")).alias("dir")).distinct()
     parts = F.split("dir", "/")
     ancestors = dirs.select(F.col("dir").alias("below"), F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(n.alias("depth"), F.concat_ws("/", F.slice(parts, F.lit(1), n)).alias("dir")))).alias("a")).select("below", "a.depth", "a.dir").distinct()
+    # Stored, so that both sides of the last join are plain exchanges, which Spark splits where a directory is hot.
     nearest = ancestors.join(licences, "dir").groupBy("below").agg(F.max(F.struct("depth", "dir", "d_name", "d_cosine")).alias("n")).select(F.col("below").alias("dir"), F.col("n.dir").alias("licence_dir"), F.col("n.d_name").alias("d_name"), F.col("n.d_cosine").alias("d_cosine"))
+    nearest = stored(nearest, "nearest")
     heads = per_file.where("head is not null").select("path", F.col("head.name").alias("h_name"), (-F.col("head.c")).alias("h_cosine"))
     out = own.drop("text").withColumn("dir", directory(F.col("path"))).join(heads, "path", "left").join(nearest, "dir", "left")
     inherits = F.col("h_name").isNull() & F.col("d_name").isNotNull()
