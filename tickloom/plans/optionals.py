@@ -58,7 +58,7 @@ _OF: dict[str, Callable[..., dict[str, Twin]]] = {
 }
 #: Indicators over a fitted line; the database's own regression finds it.
 LINES = ("linreg", "tsf", "fosc")
-TWINS: dict[str, dict[str, Twin]] = {k: f(*INFO[k].defaults) for k, f in _OF.items()} | {k: {} for k in LINES}
+TWINS: dict[str, dict[str, Twin]] = {k: f(*INFO[k].defaults) for k, f in _OF.items()} | {k: {} for k in (*LINES, "kvo")}
 
 
 def bars(x: str) -> str:
@@ -78,6 +78,8 @@ def sql(name: str) -> str:
         values = {"linregslope": "b", "linregintercept": f"a + b * (i - {p})", "linreg": "a + b * i", "tsf": "a + b * (i + 1)"}
         shown = ", ".join(f"round(CASE WHEN i >= {p} THEN {values[k]} END + {oracles.SHIFT}, {oracles.DIGITS}) AS {k}" for k in INFO[name].optional)
         return f"WITH n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i FROM ({oracles.DAILY}) AS d), f AS (SELECT symbol, ts, i, {of('regr_slope')} AS b, {of('regr_intercept')} AS a FROM n) SELECT symbol, CAST(ts AS VARCHAR) AS ts, {shown} FROM f"
+    if name == "kvo":
+        return oracles.build(name, INFO[name].defaults, optional=True)
     twins = TWINS[name]
     parts = [f"(SELECT symbol, ts, {output} AS {k} FROM ({oracles.build(other, options or INFO[other].defaults, bars(x))}) AS q_{k}) AS t_{k}" for k, (other, options, output, x) in twins.items()]
     return f"SELECT symbol, ts, {', '.join(f't_{k}.{k}' for k in twins)} FROM {parts[0]}" + "".join(f" JOIN {p} USING (symbol, ts)" for p in parts[1:])

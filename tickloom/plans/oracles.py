@@ -112,7 +112,8 @@ def wilder_sum(x: str, p: float, key: str) -> dict[str, tuple[str, str]]:
     return {key: (x.replace("b.", ""), f"CASE WHEN b.i < {p} THEN r.{key} + {x} ELSE r.{key} * {(p - 1) / p!r}::DOUBLE + {x} END")}
 
 
-def build(name: str, o: tuple[float, ...], bars: str = DAILY) -> str:
+def build(name: str, o: tuple[float, ...], bars: str = DAILY, optional: bool = False) -> str:
+    """An indicator's outputs over bars; for kvo, its optional ones as well can be had."""
     info = INFO[name]
     t = Plan(bars)
     x = "close"
@@ -291,6 +292,8 @@ def build(name: str, o: tuple[float, ...], bars: str = DAILY) -> str:
         t.recurse(tr=("-2", trend), cm=("0", f"CASE WHEN (r.tr <> 1 AND b.hlc > b.q) OR (r.tr <> -1 AND b.hlc < b.q) THEN b.pg ELSE r.cm END + greatest(b.g, {EPS})"))
         t.add(vf="CASE WHEN i > 0 THEN abs(g / cm * 2 - 1) * volume * 100 * tr END")
         t.recurse(**ema("b.vf", o[0], "a", 1), **ema("b.vf", o[1], "e", 1))
+        if optional:
+            return t.sql({"short_ema": f"CASE WHEN i >= {o[0]} THEN a END", "long_ema": f"CASE WHEN i >= {o[1]} THEN e END"})
         out = ["a - e"]
     elif name == "psar":
         af, most = o
