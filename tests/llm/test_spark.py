@@ -309,6 +309,52 @@ def test_toxicity_on_held_out_rows(spark):
     assert better > 0.9 and sum(r["predicted"] for r in bad) > 0.7 * len(bad) and sum(r["predicted"] for r in good) < 0.2 * len(good)
 
 
+def test_texts_that_share_an_id(spark):
+    """Rows of one id with different texts: one of them comes first, and the other loses what both have; equal rows fare alike."""
+    rng = random.Random(8)
+    passage, a, b = prose(rng, 60), prose(rng, 10), prose(rng, 12)
+    rows = [(5, f"{a} {passage}"), (5, f"{passage} {b}"), (5, f"{passage} {b}"), (6, passage), (None, passage), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in passages.digest(df).collect()]
+    n = len(passage.encode())
+    five = {(size, gone) for i, size, gone in got if i == 5}
+    first, second = (len(t.encode()) for _, t in rows[:2])
+    assert sorted(gone > 0 for _, gone in five) == [False, True] and {size for size, _ in five} == {first, second}
+    assert all(n <= gone <= n + 2 for _, gone in five if gone)
+    assert [r for r in got if r[0] in (6, None)] == [r for r in got if r[0] in (6, None) and r[2] == n] and len(got) == 6
+
+
+def test_clashing_and_null_inputs(spark):
+    ids = spark.createDataFrame([(1, [5, 300]), (2, None), (None, [])], "text long, ids array<int>")
+    back = mergedrop.decode(ids, tokenizer_path("piece_bpe_32k.model"), id_col="text")
+    assert back.columns == ["kept_text", "text"] and {r["kept_text"]: r["text"] for r in back.collect()}[2] == ""
+    files = spark.createDataFrame([(1, bytearray(media.mux(b"a" * 900))), (2, None), (None, bytearray(b"junk"))], "track long, media binary")
+    packets = media.packet_table(files, "track", "media")
+    assert packets.columns[0] == "kept_track" and {r["kept_track"] for r in packets.collect()} == {1} and sum(r["size"] for r in packets.collect()) == 900
+    digest = media.media_digest(files.withColumn("n_bytes", F.lit(0)), "track").collect()
+    assert len(digest) == 3 and {r["payload_bytes"] for r in digest} == {0, 900}
+    fitted = toxicity.train([toxicity.bag("bad words"), toxicity.bag("good ones")], np.array([1, 0]))
+    rows = spark.createDataFrame([(1, "x", 7)], "doc_id long, text string, score int")
+    out = toxicity.score(rows, fitted, keep=("score", "text"))
+    assert out.columns == ["doc_id", "held_out", "score", "predicted", "kept_score", "text"] and out.collect()[0]["kept_score"] == 7
+
+
+def test_chat_digest_against_rows(spark):
+    """Random conversations: what is read back from spans is what went in."""
+    rng = random.Random(12)
+    bits = ["\\", "#", "### ", "<", "</turn>", "\n", ": ", "assistant", "é", "😀", " ", "ok", ""]
+    rows = [(c, t, rng.choice(["user", "assistant", "system", "a: b", None]), rng.choice([None, "".join(rng.choices(bits, k=rng.randint(0, 12)))])) for c in range(60) for t in range(rng.randint(1, 90 if c < 3 else 9))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = {r["conv_id"]: r for r in chat.conversation_digest(chat.format_turns(df)).collect()}
+    for c in range(60):
+        own = [(r or "", t or "") for i, _, r, t in rows if i == c]
+        learned = "".join(t for r, t in own if r == "assistant")
+        d = got[c]
+        assert d["n_turns"] == len(own) and d["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
+        assert (d["loss_chars"], d["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest()) and not d["rewrites_history"]
+        assert d["formatted_chars"] == len(chat.render_marked([{"role": r, "text": t} for r, t in own]))
+
+
 def test_very_long_texts(spark):
     rng = random.Random(3)
     long = prose(rng, 400_000) + "x" * 300_000 + " " + "é" * 100_000 + "\n" * 2000 + "z"

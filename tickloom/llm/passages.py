@@ -128,8 +128,14 @@ def entries_of(docs: list[int], versions: list[int], texts: list[bytes]) -> Iter
 
 
 def first_of_kind(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries sorted by anchor and region, then document order; whether each is the first of its anchor and region."""
+    """Entries sorted by anchor and region, then document order, each once (a repeated row brings them again); whether each is the first of its anchor and region."""
     e = e[np.lexsort((e["start"], e["version"], e["doc"], e["region"], e["anchor"]))]
+    if len(e) > 1:
+        same = np.ones(len(e) - 1, bool)
+        for k in ("start", "doc", "version", "region", "anchor"):
+            same &= e[k][1:] == e[k][:-1]
+        if same.any():
+            e = e[np.concatenate([[True], ~same])]
     first = np.ones(len(e), bool)
     first[1:] = (e["anchor"][1:] != e["anchor"][:-1]) | (e["region"][1:] != e["region"][:-1])
     return e, first
