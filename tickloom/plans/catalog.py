@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import maths
 from ..operators import candlesticks
 from ..operators.indicators import crossover, indicator, pivotpoint, resume, sweep
 from ..operators.registry import INFO
@@ -63,6 +64,40 @@ def bars_sql(sql: str) -> str:
     return f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, " + ", ".join(f"round({c} + {oracles.SHIFT}, {oracles.DIGITS}) AS {c}" for c in ("open", "high", "low", "close", "volume")) + f" FROM ({sql}) AS b"
 
 
+def monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.resample(daily(spark, sf_dir), "month")
+
+
+MONTHLY_SQL = f"SELECT symbol, CAST(date_trunc('month', ts) AS TIMESTAMP) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM ({oracles.DAILY}) AS d GROUP BY symbol, date_trunc('month', ts)"
+
+
+def latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last hundred bars of two listings, by the loader of end-of-day prices; the daily bars stand for its tables."""
+    own = daily(spark, sf_dir).withColumn("listing_id", F.ascii("symbol"))
+    prices = own.drop("symbol").withColumn("volume", F.when(F.dayofmonth("ts") == 13, 0).otherwise(F.col("volume")))
+    listing = own.select("listing_id", F.col("symbol").alias("code"), F.lit("XX").alias("exchange_code")).distinct()
+    return bars.end_of_day(prices, listing, [("A", "XX"), ("N", "XX"), ("A", "YY")], limit=100)
+
+
+LATEST_SQL = f"SELECT symbol || '_XX' AS symbol, ts, open, high, low, close, volume FROM ({oracles.DAILY}) AS d WHERE day(ts) <> 13 AND volume > 0 AND symbol IN ('A', 'N') QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 100"
+
+
+MATHS = ("abs", "acos", "ln", "exp", "pow", "sqrt", "atan", "sin", "cos", "sum")
+
+
+def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scalar functions over daily bars."""
+    o, c = F.col("open"), F.col("close")
+    sine, cosine = maths.sin_cos(c / 1000)
+    f = maths.SCALAR
+    values = (f["abs"](o - c), f["acos"](F.col("low") / F.col("high")), f["ln"](c), f["exp"](o / c), f["pow"](c / o, F.lit(0.5)), f["sqrt"](c), f["atan"](o / c), sine, cosine, maths.rolling_sum(c, 14))
+    return shown(daily(spark, sf_dir).select("symbol", "ts", *(v.alias(k) for k, v in zip(MATHS, values))), list(MATHS))
+
+
+_SCALARS = ("abs(open - close)", "acos(low / high)", "ln(close)", "exp(open / close)", "pow(close / open, 0.5)", "sqrt(close)", "atan(open / close)", "sin(close / 1000)", "cos(close / 1000)", "CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) >= 14 THEN sum(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) END")
+SCALARS_SQL = f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, {', '.join(f'round({v} + {oracles.SHIFT}, {oracles.DIGITS}) AS {k}' for k, v in zip(MATHS, _SCALARS))} FROM ({oracles.DAILY}) AS d"
+
+
 def crosses(either: bool) -> Query:
     return lambda spark, sf_dir: shown(crossover(daily(spark, sf_dir), "close", "open", either=either, name="crossed"), ["crossed"])
 
@@ -184,6 +219,9 @@ QUERIES: dict[str, Query] = {
     "bars_daily": of_bars(daily),
     "bars_hourly": of_bars(hourly),
     "bars_weekly": of_bars(weekly),
+    "bars_monthly": of_bars(monthly),
+    "scalar_math": scalars,
+    "bars_latest": of_bars(latest),
     "crossover": crosses(False),
     "crossany": crosses(True),
     "pivotpoint": pivots,
@@ -203,6 +241,9 @@ ORACLE_SQL: dict[str, str] = {
     "bars_daily": bars_sql(oracles.DAILY),
     "bars_hourly": bars_sql(oracles.HOURLY),
     "bars_weekly": bars_sql(oracles.WEEKLY),
+    "bars_monthly": bars_sql(MONTHLY_SQL),
+    "scalar_math": SCALARS_SQL,
+    "bars_latest": bars_sql(LATEST_SQL),
     "crossover": crosses_sql(False),
     "crossany": crosses_sql(True),
     "pivotpoint": PIVOTS_SQL,
