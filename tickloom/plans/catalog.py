@@ -90,11 +90,11 @@ def scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, c = F.col("open"), F.col("close")
     sine, cosine = maths.sin_cos(c / 1000)
     f = maths.SCALAR
-    values = (f["abs"](o - c), f["acos"](F.col("low") / F.col("high")), f["ln"](c), f["exp"](o / c), f["pow"](c / o, F.lit(0.5)), f["sqrt"](c), f["atan"](o / c), sine, cosine, maths.rolling_sum(c, 14))
+    values = (f["abs"](o - c), f["acos"](F.col("low") / F.col("high")), f["ln"](c), f["exp"](-o / c), f["pow"](c / o, F.lit(0.5)), f["sqrt"](c), f["atan"](o / c), sine, cosine, maths.rolling_sum(c, 14))
     return shown(daily(spark, sf_dir).select("symbol", "ts", *(v.alias(k) for k, v in zip(MATHS, values))), list(MATHS))
 
 
-_SCALARS = ("abs(open - close)", "acos(low / high)", "ln(close)", "exp(open / close)", "pow(close / open, 0.5)", "sqrt(close)", "atan(open / close)", "sin(close / 1000)", "cos(close / 1000)", "CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) >= 14 THEN sum(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) END")
+_SCALARS = ("abs(open - close)", "acos(low / high)", "ln(close)", "exp(-open / close)", "pow(close / open, 0.5)", "sqrt(close)", "atan(open / close)", "sin(close / 1000)", "cos(close / 1000)", "CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY ts) >= 14 THEN sum(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) END")
 SCALARS_SQL = f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, {', '.join(f'round({v} + {oracles.SHIFT}, {oracles.DIGITS}) AS {k}' for k, v in zip(MATHS, _SCALARS))} FROM ({oracles.DAILY}) AS d"
 
 
