@@ -53,9 +53,9 @@ def removed_by_brute_force(rows):
     return out
 
 
-@pytest.mark.parametrize("frequent", [passages.FREQUENT, 1])
-def test_passages(docs, frequent):
-    got = passages.repeated_spans(docs, frequent=frequent).collect()
+@pytest.mark.parametrize(("frequent", "often"), [(passages.FREQUENT, passages.OFTEN), (1, passages.OFTEN), (passages.FREQUENT, 1), (passages.FREQUENT, 0), (1, 0)])
+def test_passages(docs, frequent, often):
+    got = passages.repeated_spans(docs, frequent=frequent, often=often).collect()
     want = removed_by_brute_force([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert len(got) == docs.count()
     for r in got:

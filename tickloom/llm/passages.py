@@ -7,7 +7,7 @@ Order: (document id, version, first byte), where the version is a hash that tell
 3. Regions that meet by anchor fill buckets of about 200 KB, each of several shards of SHARD bytes; the shards' block-wise Burrows-Wheeler transforms are merged by interleave refinement (suffixes.py), whose common prefixes give the intervals of repeated windows.
 4. Spans meet their document and are united and removed.
 
-Rows travel as packed arrays, a row per task and bucket; buckets grow in number with the input. Texts are sent twice, to the spans they need, and tasks stream them. Anchors with very many distinct regions are dealt by the hash of each window instead of the anchor's, and of the windows that are equal in a lot only the first is sent on: a passage in very many documents comes to step 3 once a lot, not once a document. In step 2 all distinct regions of an anchor, 36 bytes for each task that has them, still meet in one task.
+Rows travel as packed arrays, a row per task and bucket; buckets grow in number with the input. Texts are sent twice, to the spans they need, and tasks stream them. Anchors with very many distinct regions are dealt by the hash of each window instead of the anchor's, and of the windows that are equal in a lot only the first is sent on: a passage in very many documents comes to step 3 once a lot, not once a document. An anchor that is frequent in one lot of a task already (more than OFTEN distinct regions) sends no regions to step 2 from there but a mark, so that what meets there is at most OFTEN entries of 36 bytes from each lot.
 
 Null texts are empty. Null ids come last in order, as one id. Rows equal in id and text count as one document; each gets its result. An empty table gives no rows.
 """
@@ -33,8 +33,8 @@ ENTRIES = 400_000  # regions that a task gathers before it sends them on
 #: Bytes of text for each task of step 2, of regions for each task of step 3, and of regions for each of its buckets.
 ANCHOR_BYTES, REGION_BYTES, BUCKET_BYTES = 8_000_000, 4_000_000, 200_000
 SHARD = 1 << 15
-#: Distinct regions of an anchor above which its windows are dealt one by one.
-FREQUENT = 20_000
+#: Distinct regions of an anchor above which its windows are dealt one by one: in all, and among the ENTRIES that a task gathers.
+FREQUENT, OFTEN = 20_000, 200
 NO_ID = np.int64(2**63 - 1)
 
 ENTRY = np.dtype([("anchor", "<u4"), ("region", "<u8"), ("doc", "<i8"), ("version", "<i8"), ("start", "<i4"), ("end", "<i4")])
@@ -189,7 +189,9 @@ def _batch(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
 WHOLE, ASKED, LOCAL = 0, 1, 2
 
 
-def _scan(anchor_buckets: int, doc_buckets: int):
+def _scan(anchor_buckets: int, doc_buckets: int, often: int):
+    """Step 1 and, inside each lot of entries, step 2. An anchor with very many distinct regions in a lot is frequent: its regions are asked for at once, and only a mark (an entry without bytes) goes on to where the anchor meets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -198,7 +200,15 @@ def _scan(anchor_buckets: int, doc_buckets: int):
             again = e[~first]
             spans = united(again["doc"], again["version"], again["start"], again["end"])
             e = e[first]
-            return _batch([*_sent(WHOLE, (e["anchor"] % np.uint32(anchor_buckets)).astype(np.int32), e), *_sent(LOCAL, _bucket(spans["doc"], spans["version"], doc_buckets) % anchor_buckets, spans)])
+            new = np.ones(len(e), bool)
+            new[1:] = e["anchor"][1:] != e["anchor"][:-1]
+            many = np.diff(np.concatenate([np.flatnonzero(new), [len(e)]])) > often
+            hot = np.repeat(many, np.diff(np.concatenate([np.flatnonzero(new), [len(e)]])))
+            marks = np.zeros(int(many.sum()), ENTRY)
+            marks["anchor"] = e["anchor"][new][many]
+            ask = _asked(e[hot], True)
+            e = np.concatenate([e[~hot], marks])
+            return _batch([*_sent(WHOLE, (e["anchor"] % np.uint32(anchor_buckets)).astype(np.int32), e), *_sent(LOCAL, _bucket(spans["doc"], spans["version"], doc_buckets) % anchor_buckets, spans), *_sent(ASKED, _bucket(ask["doc"], ask["version"], doc_buckets) % anchor_buckets, ask)])
 
         for b in batches:
             docs = [NO_ID if d is None else d for d in b.column(0).to_pylist()]
@@ -214,6 +224,13 @@ def _scan(anchor_buckets: int, doc_buckets: int):
     return run
 
 
+def _asked(e: np.ndarray, each: bool | np.ndarray) -> np.ndarray:
+    """Entries as spans whose bytes step 3 needs, window by window where ``each``."""
+    ask = np.zeros(len(e), SPAN)
+    ask["doc"], ask["version"], ask["start"], ask["end"], ask["key"], ask["each"] = e["doc"], e["version"], e["start"], e["end"], e["anchor"], each
+    return ask
+
+
 def _meet(doc_buckets: int, frequent: int):
     """Step 2, on all entries of a task's anchors."""
 
@@ -222,17 +239,19 @@ def _meet(doc_buckets: int, frequent: int):
         for b in batches:
             passed = []
             for kind, data in zip(b.column(0).to_pylist(), b.column(3).to_pylist()):
-                if kind == LOCAL:
+                if kind in (LOCAL, ASKED):
                     s = np.frombuffer(data, SPAN)
-                    passed += _sent(WHOLE, _bucket(s["doc"], s["version"], doc_buckets), s)
+                    passed += _sent(WHOLE if kind == LOCAL else ASKED, _bucket(s["doc"], s["version"], doc_buckets), s)
                 else:
                     parts.append(np.frombuffer(data, ENTRY))
             if passed:
                 yield _batch(passed)
         if not parts:
             return
-        e, first = first_of_kind(np.concatenate(parts))
+        e = np.concatenate(parts)
         del parts
+        hot = np.unique(e["anchor"][e["end"] == 0])
+        e, first = first_of_kind(e[e["end"] > 0])
         again = e[~first]
         spans = united(again["doc"], again["version"], again["start"], again["end"])
         yield _batch(list(_sent(WHOLE, _bucket(spans["doc"], spans["version"], doc_buckets), spans)))
@@ -241,9 +260,9 @@ def _meet(doc_buckets: int, frequent: int):
         new[1:] = e["anchor"][1:] != e["anchor"][:-1]
         kinds = np.diff(np.concatenate([np.flatnonzero(new), [len(e)]]))
         kinds = np.repeat(kinds, kinds)
-        ask = np.zeros(int((kinds > 1).sum()), SPAN)
-        e, kinds = e[kinds > 1], kinds[kinds > 1]
-        ask["doc"], ask["version"], ask["start"], ask["end"], ask["key"], ask["each"] = e["doc"], e["version"], e["start"], e["end"], e["anchor"], kinds > frequent
+        # What is frequent in one task is dealt window by window everywhere, so that equal windows meet.
+        kinds[np.isin(e["anchor"], hot)] = frequent + 2
+        ask = _asked(e[kinds > 1], kinds[kinds > 1] > frequent)
         yield _batch(list(_sent(ASKED, _bucket(ask["doc"], ask["version"], doc_buckets), ask)))
 
     return run
@@ -415,7 +434,7 @@ def _prepared(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...])
     return own.withColumn("version", F.xxhash64("b"))
 
 
-def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), frequent: int = FREQUENT, texts: bool = True, characters: bool = False) -> DataFrame:
+def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), frequent: int = FREQUENT, texts: bool = True, characters: bool = False, often: int = OFTEN) -> DataFrame:
     """(id, n_bytes, spans array<struct<start, end>>, kept binary, kept_sha256, *keep): the maximal removed spans of every row, and what is left. ``texts``: with the bytes that are left, else null. ``characters``: spans are shrunk to whole characters of UTF-8."""
     spark = df.sparkSession
     bounded_batches(spark)
@@ -423,7 +442,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = own.agg(F.sum(F.octet_length("b"))).first()[0] or 0
     anchor_tasks = max(8, int(total // ANCHOR_BYTES) + 1)
     anchor_buckets = doc_buckets = 8 * anchor_tasks
-    scanned = own.select("doc", "version", "b").mapInArrow(lean(_scan(anchor_buckets, doc_buckets), forget_powers), SENT)
+    scanned = own.select("doc", "version", "b").mapInArrow(lean(_scan(anchor_buckets, doc_buckets, often), forget_powers), SENT)
     met = scanned.repartition(anchor_tasks, "bucket").mapInArrow(lean(_meet(doc_buckets, frequent)), SENT)
     found = stored(met, "passages")
     release_shuffles(spark)
