@@ -210,3 +210,15 @@ def conversation_digest(turns: DataFrame, template: Template = MARKED, conv_col:
         return pa.RecordBatch.from_arrays([pa.array(ids, arrow), *(pa.array(v, k) for v, k in zip(cols, kinds))], names=names)
 
     return turns.mapInArrow(run, f"{conv_col} {kind.simpleString()}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean")
+
+
+def oracle(planted: str) -> str:
+    """The digest of ``conversations`` and the planted one under the marked template, as SQL: from the rows, without any rendering."""
+    text = planted.replace("'", "''")
+    count = lambda column, marks: f"(length({column}) + length(regexp_replace({column}, '[^{marks}]', '', 'g')))"
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    fixed = len("### " + ": " + "</turn>\n")
+    return f"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM (SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations UNION ALL VALUES (-7, 0, 'user', '{text}'), (-7, 1, 'assistant', '{text}')))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' {order}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum({fixed} + {count("role", chr(92) * 4 + "#<:")} + {count("text", chr(92) * 4 + "#<")}) AS BIGINT) AS formatted_chars, false AS rewrites_history FROM r GROUP BY conv_id"""

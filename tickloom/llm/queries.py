@@ -86,7 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: Where SQL can express a query.
 ORACLE_SQL: dict[str, str] = {
+    "op1_suffix_dedup": passages.ORACLE,
     "op2_ngram_join": shingles.ORACLE,
     "op3_license_scan": licenses.oracle(),
+    "op7_chat_formatting": chat.oracle(PLANTED),
     "op10_embedding_dedup": pivots.ORACLE,
 }
