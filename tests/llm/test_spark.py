@@ -402,3 +402,69 @@ def test_pipeline(docs, spark, tmp_path):
     assert {3} == {r["doc_id"] for r in own.where("doc_id in (3, 39, 40)").collect()}
     packed = corpus_pipeline.run(spark, sf)
     assert packed.select("doc_id").distinct().count() == sizes[3]
+
+
+def test_pipeline_against_brute_force(docs, spark, tmp_path):
+    """Every stage on its own input: scores one text at a time, all pairs of shingle sets, every window, the library's ids."""
+    import corpus_pipeline
+
+    sf = str(tmp_path / "sf")
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs.where("doc_id is not null").select(*columns).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(k, int(k % 6 == 1)) for k in range(30)], "doc_id long, toxic int").write.parquet(f"{sf}/labels.parquet")
+    own = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in own.collect()}
+
+    model = toxicity.fit(own, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = {i: t for i, t in rows.items() if toxicity.scores(model, [t or ""])[0] < 0.3}
+
+    def after(k):
+        out = corpus_pipeline.STAGES[k][1](spark, own, sf)
+        out.write.parquet(f"{sf}/brute{k}")
+        return spark.read.parquet(f"{sf}/brute{k}")
+
+    own = after(0)
+    assert {r["doc_id"]: r["text"] for r in own.collect()} == rows and 20 < len(rows)
+
+    words = {i: (t or "").split() for i, t in rows.items()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    group = {i: i for i in rows}
+    for _ in rows:
+        for i in rows:
+            for j in rows:
+                if i < j and jaccard(sets[i], sets[j]) >= 0.8:
+                    group[i] = group[j] = min(group[i], group[j])
+    rows = {i: t for i, t in rows.items() if group[i] == i}
+    own = after(1)
+    assert {r["doc_id"]: r["text"] for r in own.collect()} == rows
+
+    seen, want = set(), {}
+    for i, t in sorted(rows.items()):
+        raw = (t or "").encode()
+        mark = bytearray(len(raw))
+        for at in range(len(raw) - 99):
+            if raw[at : at + 100] in seen:
+                mark[at : at + 100] = b"\1" * 100
+            seen.add(raw[at : at + 100])
+        spans, at = [], 0
+        while (a := mark.find(1, at)) >= 0:
+            at = mark.find(0, a) if mark.find(0, a) >= 0 else len(mark)
+            spans.append((a, at))
+        cut = passages.whole_characters(raw, spans)
+        left = b"".join(raw[x:y] for x, y in zip([0, *(e for _, e in cut)], [*(a for a, _ in cut), len(raw)]))
+        if left or not raw:
+            want[i] = None if t is None else left.decode()
+    own = after(2)
+    assert {r["doc_id"]: r["text"] for r in own.collect()} == want and any(want[i] != rows[i] for i in want)
+
+    tok = packing.byte_tokens(tokenizer_path("byte_bpe_50k.json"))
+    ids = {i: np.array([*tok.whole(t or ""), 0], "<u4") for i, t in want.items()}
+    packed = corpus_pipeline.STAGES[3][1](spark, own, sf).collect()
+    for i, x in ids.items():
+        mine = sorted((r["start"], r["length"], r["ids_crc32"]) for r in packed if r["doc_id"] == i)
+        assert mine == [(a, len(x[a : a + n]), zlib.crc32(x[a : a + n].tobytes())) for a, n, _ in mine] and sum(n for _, n, _ in mine) == len(x)
+    filled = {}
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == filled.get(r["sequence_id"], 0)
+        filled[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(filled.values()) <= 1024 and len(packed) == sum(-(-len(x) // 1024) for x in ids.values())
